@@ -53,12 +53,10 @@ def slot_bit(condition: str, view: str) -> int:
     return 1 << SLOTS.index((condition, view))
 
 
-def slot_bit_column(condition: Column, view: Column) -> Column:
+def slot_bit_column(condition: str = "condition", view: str = "view") -> Column:
     """BIGINT with the bit of (condition, view); 0 for a pair outside the dimension."""
-    out = F.lit(0).cast("bigint")
-    for c, v in reversed(SLOTS):
-        out = F.when((condition == c) & (view == v), F.lit(slot_bit(c, v)).cast("bigint")).otherwise(out)
-    return out
+    cases = " ".join(f"WHEN {condition} = '{c}' AND {view} = '{v}' THEN {slot_bit(c, v)}L" for c, v in SLOTS)
+    return F.expr(f"CASE {cases} ELSE 0L END")
 
 
 @dataclass(frozen=True)

@@ -22,13 +22,13 @@ FACT_KEY = ("type", "value", "polarity")
 
 def presence(facts: DataFrame, keys: Sequence[str] = ITEM) -> DataFrame:
     """One row per (keys, fact) with the bit mask of the slots that hold the fact."""
-    bit = slot_bit_column(F.col("condition"), F.col("view"))
+    bit = slot_bit_column()
     return facts.groupBy(*keys, *FACT_KEY).agg(F.bit_or(bit).alias("mask"))
 
 
 def observed_mask(observed: DataFrame, keys: Sequence[str] = ITEM) -> DataFrame:
     """One row per item with the mask of observed slots, also those that hold no fact."""
-    bit = slot_bit_column(F.col("condition"), F.col("view"))
+    bit = slot_bit_column()
     return observed.groupBy(*keys).agg(F.bit_or(bit).alias("observed"))
 
 
@@ -62,41 +62,32 @@ def item_counts(
     """
     if missing not in ("exclude", "empty"):
         raise ValueError(f"missing must be exclude or empty, not {missing!r}")
-    mask, kind = F.col("mask"), F.col("type")
     columns = []
     for i, p in enumerate(pairs):
-        in_type = kind.isin(*p.types) if p.types else F.lit(True)
-        up, down = has_any(mask, p.up), has_any(mask, p.down)
+        names = ", ".join(f"'{t}'" for t in p.types or ())
+        in_type = f"type IN ({names}) AND " if p.types else ""
+        up, down = f"(mask & {p.up.bits}L) <> 0L", f"(mask & {p.down.bits}L) <> 0L"
         columns += [
-            _count(in_type & up & down).alias(f"r{i}"),
-            _count(in_type & up).alias(f"t{i}"),
-            _count(in_type & down).alias(f"d{i}"),
+            F.expr(f"sum(CASE WHEN {in_type}{up} AND {down} THEN 1L ELSE 0L END) AS r{i}"),
+            F.expr(f"sum(CASE WHEN {in_type}{up} THEN 1L ELSE 0L END) AS t{i}"),
+            F.expr(f"sum(CASE WHEN {in_type}{down} THEN 1L ELSE 0L END) AS d{i}"),
         ]
     group = [*keys, "type"] if by_type else list(keys)
     counts = facts_presence.groupBy(*group).agg(*columns)
-    agree = F.lit(False)
+    gated = observed is not None and missing == "exclude"
     if observed is not None:
         counts = counts.join(observed, list(keys), "left")
-        if "agree" in observed.columns:
-            agree = F.coalesce(F.col("agree"), F.lit(False))
+    agree = "coalesce(agree, false)" if observed is not None and "agree" in observed.columns else "false"
     rows = []
     for i, p in enumerate(pairs):
-        keep = F.lit(True)
-        if observed is not None and missing == "exclude":
-            keep = F.coalesce(
-                has_all(F.col("observed"), p.up) & has_all(F.col("observed"), p.down), F.lit(False)
-            )
-        if p.agree_only:
-            keep = keep & agree
-        rows.append(F.struct(
-            F.lit(p.name).alias("metric"),
-            F.col(f"r{i}").alias("retained"),
-            F.col(f"t{i}").alias("total"),
-            F.col(f"d{i}").alias("n_down"),
-            keep.alias("keep"),
-        ))
+        need = p.up.need | p.down.need
+        tests = [f"coalesce((observed & {need}L) = {need}L, false)"] if gated else []
+        tests += [agree] if p.agree_only else []
+        rows.append(
+            f"named_struct('metric', '{p.name}', 'retained', r{i}, 'total', t{i}, 'n_down', d{i}, "
+            f"'keep', {' AND '.join(tests) or 'true'})")
     return (
-        counts.select(*group, F.explode(F.array(*rows)).alias("m"))
+        counts.select(*group, F.expr(f"explode(array({', '.join(rows)})) AS m"))
         .where(F.col("m.keep"))
         .select(*group, "m.metric", "m.retained", "m.total", "m.n_down")
     )

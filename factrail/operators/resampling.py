@@ -6,8 +6,9 @@ with a multiplicity. Two exact ways to draw with replacement are offered:
 * ``slots``: draw j of replicate b picks position md5(seed, group, b, j) mod n on the line of items
   ordered by cell; the position is mapped to its cell by a range lookup. Native expressions only, no
   shuffle of the draws (they are counted per replicate on the map side), reproducible in any engine.
-* ``multinomial``: replicate b draws the multiplicities of the cells of its group at once in an Arrow
-  batch; the work is replicates x cells and does not grow with the number of items.
+* ``multinomial``: a block of replicates draws the multiplicities of the cells of its group at once in
+  an Arrow batch; the work is replicates x cells and does not grow with the number of items. The
+  generator is keyed by (seed, group, block), so the result does not depend on the partitioning.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from factrail.session import parallelism
+
 CHUNK = 65536
 BLOCKS = 2048
 MAX_CELLS = 200_000
+BLOCK = 128
 
 
 def hash_number(*parts: Column) -> Column:
@@ -59,7 +63,7 @@ def slot_draws(cells: DataFrame, group: Sequence[str], *, replicates: int, seed:
         size.select(*group, "_size", width.alias("_width"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
         .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_size - 1) div {CHUNK}"))).alias("_chunk"))
     )
-    chunks = chunks.repartition(*group, "b", "_chunk")
+    chunks = chunks.repartition(parallelism(cells.sparkSession), *group, "b", "_chunk")
     lo = F.col("_chunk") * CHUNK
     draws = chunks.select(
         *group, "_size", "_width", "b",
@@ -102,11 +106,11 @@ def multinomial_sums(cells: DataFrame, group: Sequence[str], stats: Sequence[str
         F.sum("n").alias("_size"),
         F.collect_list(F.struct("start", "n", *[F.col(s).cast("double").alias(s) for s in stats])).alias("_cell"),
     )
-    block = 256
+    block = BLOCK
     jobs = packed.withColumn(
         "_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // block)))
     ).withColumn("_salt", hash_number(F.lit(seed), *[F.col(g) for g in group]))
-    jobs = jobs.repartition(*group, "_block")
+    jobs = jobs.repartition(parallelism(cells.sparkSession), *group, "_block")
     schema = T.StructType(
         [cells.schema[g] for g in group]
         + [T.StructField("b", T.IntegerType())]
@@ -122,10 +126,8 @@ def multinomial_sums(cells: DataFrame, group: Sequence[str], stats: Sequence[str
                 p = counts / counts.sum()
                 lo = int(row["_block"]) * block
                 bs = np.arange(lo, min(lo + block, replicates))
-                sums = np.empty((len(bs), len(stats)))
-                for k, b in enumerate(bs):
-                    rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, int(row["_salt"]), int(b)])))
-                    sums[k] = rng.multinomial(int(row["_size"]), p) @ values
+                rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, int(row["_salt"]), int(row["_block"])])))
+                sums = rng.multinomial(int(row["_size"]), p, size=len(bs)) @ values
                 out = pd.DataFrame({g: [row[g]] * len(bs) for g in group})
                 out["b"] = bs.astype("int32")
                 for j, s in enumerate(stats):
@@ -226,9 +228,10 @@ def permutation_test(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("na"))
     packed = bounded(cells, group, "too many distinct values; use the ordered test").groupBy(*group).agg(
         F.collect_list(F.struct("x", "n", "na")).alias("_cell"))
-    block = 256
+    block = BLOCK
     jobs = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // block))))
-    jobs = jobs.withColumn("_salt", hash_number(F.lit(seed), *[F.col(g) for g in group])).repartition(*group, "_block")
+    jobs = jobs.withColumn("_salt", hash_number(F.lit(seed), *[F.col(g) for g in group]))
+    jobs = jobs.repartition(parallelism(rows.sparkSession), *group, "_block")
     schema = T.StructType([rows.schema[g] for g in group] + [
         T.StructField("hits", T.LongType()), T.StructField("diff", T.DoubleType()),
         T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType())])
@@ -245,11 +248,9 @@ def permutation_test(
                 hits = None
                 if na >= 2 and nb >= 2:
                     lo = int(row["_block"]) * block
-                    hits = 0
-                    for b in range(lo, min(lo + block, replicates)):
-                        rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, int(row["_salt"]), b])))
-                        k = rng.multivariate_hypergeometric(n, na, method="marginals")
-                        hits += int(abs(k @ x / na - (n - k) @ x / nb) >= abs(diff) - 1e-12)
+                    rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, int(row["_salt"]), int(row["_block"])])))
+                    k = rng.multivariate_hypergeometric(n, na, size=min(block, replicates - lo), method="marginals")
+                    hits = int((np.abs(k @ x / na - (n - k) @ x / nb) >= abs(diff) - 1e-12).sum())
                 yield pd.DataFrame([{**{g: row[g] for g in group}, "hits": hits, "diff": diff, "n_a": na, "n_b": nb}])
 
     out = jobs.mapInPandas(draw, schema).groupBy(*group).agg(

@@ -27,12 +27,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def literal_rows(names: tuple[str, ...], rows: list[tuple]) -> Column:
+    """A literal array of structs; integers become BIGINT."""
+    def lit(v: object) -> str:
+        return f"'{v}'" if isinstance(v, str) else f"{v}L"
+
+    structs = ", ".join(
+        "named_struct(" + ", ".join(f"'{n}', {lit(v)}" for n, v in zip(names, row)) + ")" for row in rows)
+    return F.expr(f"array({structs})")
+
+
 def views_column() -> Column:
-    return F.array(*[
-        F.struct(F.lit(c).alias("condition"), F.lit(v).alias("view"),
-                 F.lit(k).cast("bigint").alias("keep_pct"), F.lit(s).cast("bigint").alias("salt"))
-        for c, v, k, s in FX_VIEWS
-    ])
+    return literal_rows(("condition", "view", "keep_pct", "salt"), list(FX_VIEWS))
 
 
 def model_of(item: Column) -> Column:
@@ -108,7 +114,7 @@ def agree_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 def candidate_grid(spark: SparkSession, sf: str) -> DataFrame:
     """(model, item_id, cand_idx): every candidate of every item, also those without any fact."""
-    cands = F.explode(F.array(*[F.lit(c) for c in range(N_CANDIDATES)])).alias("cand_idx")
+    cands = F.expr(f"explode(sequence(0, {N_CANDIDATES - 1})) AS cand_idx")
     return items(spark, sf).select("model", "item_id", cands)
 
 
@@ -118,10 +124,8 @@ def plan_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 def candidate_facts(spark: SparkSession, sf: str) -> DataFrame:
     """(model, item_id, cand_idx, view, type, value, polarity): 8 candidates in three views."""
-    spec = F.array(*[
-        F.struct(F.lit(c).alias("cand_idx"), F.lit(a).alias("view"), F.lit(s).cast("bigint").alias("salt"))
-        for c in range(N_CANDIDATES) for a, s in zip(VIEWS, (11, 12, 13))
-    ])
+    spec = literal_rows(("cand_idx", "view", "salt"), [
+        (c, a, s) for c in range(N_CANDIDATES) for a, s in zip(VIEWS, (11, 12, 13))])
     i, v, c, s = F.col("item_id"), F.col("v"), F.col("k.cand_idx"), F.col("k.salt")
     keep = ((i * 2654435 + v * 40503 + c * 7919 + s * 69069) % 1000003) % 100 < F.when(
         v % 7 == 0, 12).otherwise(60 + (i * 7 + c * 13) % 35)
@@ -129,7 +133,7 @@ def candidate_facts(spark: SparkSession, sf: str) -> DataFrame:
     return (
         base(spark, sf).select("*", F.explode(spec).alias("k"))
         .where(keep | drift)
-        .select("model", "item_id", "k.cand_idx", "k.view", "type",
+        .select("model", "item_id", F.col("k.cand_idx").cast("int").alias("cand_idx"), "k.view", "type",
                 F.when(keep, v).otherwise(v + 5).cast("string").alias("value"), "polarity")
     )
 
@@ -206,7 +210,7 @@ def order_texts(spark: SparkSession, sf: str) -> DataFrame:
     plan = F.concat(
         F.lit("Order "), i.cast("string"), F.lit(" of customer "), F.col("o_custkey").cast("string"),
         F.lit(" has status "), F.col("o_orderstatus"), F.lit(" and costs 12 percent more"))
-    cand = F.explode(F.array(*[F.lit(c) for c in range(N_CANDIDATES)])).alias("cand_idx")
+    cand = F.expr(f"explode(sequence(0, {N_CANDIDATES - 1})) AS cand_idx")
     rows = table(spark, sf, "orders").select(
         model_of(i).alias("model"), i.alias("item_id"), plan.alias("plan_text"), cand)
 

@@ -43,3 +43,8 @@ def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors and cuts the lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Partition count for compute-bound jobs built from few rows, which AQE would otherwise merge."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
