@@ -66,9 +66,11 @@ def negations_sql(s: str) -> str:
     cues = ", ".join(f"\"{c}\"" for c in L.NEGATION_CUES)
     cue = f"lower(w) IN ({cues})"
     symbol = f"length(w) <= 2 AND array_contains({T.q_array(L.ELEMENT_SYMBOLS)}, w)"
+    number_word = ", ".join(T.q(k) for k in (*L.ONES, *L.TENS, *L.SCALES))
     number = (
         f"CASE WHEN w RLIKE '^[0-9]' THEN {T.canon_number_sql('w')} "
-        f"WHEN {cue} THEN NULL ELSE {T.number_text_sql(T.words_to_number_sql('w'))} END")
+        f"WHEN {cue} OR lower(regexp_extract(w, '^[A-Za-z]+', 0)) NOT IN ({number_word}) THEN NULL "
+        f"ELSE {T.number_text_sql(T.words_to_number_sql('w'))} END")
     found = (
         f"CASE WHEN NOT c THEN array() WHEN a.value IS NOT NULL THEN array({_fact(T.q('negation'), 'a.value', T.q('-'))}, {_fact('a.type', 'a.value')}) "
         f"WHEN a.word IS NOT NULL THEN array({_fact(T.q('negation'), T.canon_name_sql('a.word'), T.q('-'))}) ELSE array() END")

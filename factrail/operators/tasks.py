@@ -21,11 +21,10 @@ def graded(items: DataFrame, predictions: DataFrame, sources: Sequence[tuple[str
     view v: v, v_error, v_sec). Every item is expected from every model and every (condition, source).
     """
     wanted = F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(s).alias("source")) for c, s in sources])
-    models = predictions.select("model").distinct()
     # The models are few and the items many: the model list rides on each item as one small array.
-    roster = models.agg(F.array_sort(F.collect_set("model")).alias("models"))
+    roster = predictions.agg(F.array_sort(F.collect_set("model")).alias("models"))
     grid = (
-        items.join(F.broadcast(roster)).select("item_id", "dataset", "task", "gold", F.explode("models").alias("model"))
+        items.select("item_id", "dataset", "task", "gold", F.explode(roster.scalar()).alias("model"))
         .select("*", F.explode(wanted).alias("w"))
         .select("model", "item_id", "dataset", "task", "gold", "w.condition", "w.source")
     )
@@ -116,15 +115,14 @@ def answer_drops(rows: DataFrame, keys: Sequence[str], view: str) -> DataFrame:
 
 def require_one_dataset(items: DataFrame) -> DataFrame:
     """The manifest, or an error on its rows when it names more than one dataset."""
-    n = items.agg(F.count_distinct("dataset").alias("_n"))
+    n = items.agg(F.count_distinct("dataset").alias("n"))
     message = F.lit("a manifest must hold exactly one dataset")
-    return items.join(F.broadcast(n)).where(F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("_n")
+    return items.where(F.when(n.scalar() == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def require_count(rows: DataFrame, expected: int) -> DataFrame:
     """The rows, or an error when there are not exactly ``expected``."""
-    n = rows.agg(F.count(F.lit(1)).alias("_n"))
-    message = F.concat(F.lit(f"expected a complete set of {expected} rows, found "), F.col("_n").cast("string"))
-    return rows.join(F.broadcast(n)).where(
-        F.when(F.col("_n") == expected, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("_n")
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    message = F.lit(f"expected a complete set of {expected} rows")
+    return rows.where(F.when(n.scalar() == expected, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
