@@ -10,20 +10,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StringType
 
 from factrail.functions.stats import ratio
 
 
+def _place(df: DataFrame, value: str) -> Column:
+    """A DOUBLE that never decreases along the order of the values; strings use their first 7 bytes."""
+    if isinstance(df.schema[value].dataType, StringType):
+        head = F.rpad(F.hex(F.substring(F.col(value).cast("binary"), 1, 7)), 14, "0")
+        return F.conv(head, 16, 10).cast("double")
+    return F.col(value).cast("double")
+
+
 def running_totals(df: DataFrame, group: Sequence[str], value: str, weight: str, *, buckets: int = 128) -> DataFrame:
     """Adds ``before``: the weight of all smaller values of the group. Values are unique per group."""
     group = list(group)
+    place = _place(df, value)
     cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     splits = df.groupBy(*group).agg(
-        F.array_distinct(F.percentile_approx(F.col(value).cast("double"), cuts, F.lit(2000))).alias("_splits")
+        F.array_distinct(F.percentile_approx(place, cuts, F.lit(2000))).alias("_splits")
     )
     cut = df.join(splits, group).withColumn(
-        "_bucket", F.size(F.filter("_splits", lambda s: s < F.col(value).cast("double")))
+        "_bucket", F.size(F.filter("_splits", lambda s: s < place))
     ).drop("_splits")
     totals = cut.groupBy(*group, "_bucket").agg(F.sum(weight).alias("_w"))
     offsets = totals.select(
