@@ -109,4 +109,4 @@ def with_fx(*names: str, extra: dict[str, str] | None = None) -> str:
         visit(name)
     parts = [f"{n} AS ({FX[n][1]})" for n in order]
     parts += [f"{n} AS ({q})" for n, q in (extra or {}).items()]
-    return "WITH " + ",\n".join(parts) + "\n"
+    return "WITH " + ",\n".join(parts) + "\n" if parts else ""

@@ -40,12 +40,14 @@ def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{names[-1]}")
 
 
-def item_scores(facts: DataFrame) -> DataFrame:
-    """Per-item export: facts per condition as one nested row.
+def item_scores(facts: DataFrame, *, part_size: int = 5000) -> DataFrame:
+    """Per-item export: (model, item_id, condition, part, facts) with the facts as one sorted array.
 
-    An item's facts travel together here because the export format asks for it; metrics never use it.
+    A set of more than ``part_size`` facts is cut into several rows by the hash of the fact, so no row
+    and no task grows with the largest item; ordinary sets are one row with part 0.
     """
-    per = facts.groupBy("model", "item_id", "condition").agg(
-        F.array_sort(F.collect_set(F.struct("type", "value", "polarity"))).alias("facts"))
-    return per.groupBy("model", "item_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("condition", "facts")))).alias("facts"))
+    key = ["model", "item_id", "condition"]
+    sizes = facts.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.ceil(F.col("_n") / part_size)
+    cut = facts.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("type", "value", "polarity"), parts))
+    return cut.groupBy(*key, "part").agg(F.array_sort(F.collect_set(F.struct("type", "value", "polarity"))).alias("facts"))
