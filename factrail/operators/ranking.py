@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import StringType
 
 from factrail.functions.stats import ratio
+from factrail.session import materialise
 
 
 def _place(df: DataFrame, value: str) -> Column:
@@ -24,7 +25,7 @@ def _place(df: DataFrame, value: str) -> Column:
     return F.col(value).cast("double")
 
 
-def running_totals(df: DataFrame, group: Sequence[str], value: str, weight: str, *, buckets: int = 128) -> DataFrame:
+def running_totals(df: DataFrame, group: Sequence[str], value: str, weight: str, *, buckets: int = 64) -> DataFrame:
     """Adds ``before``: the weight of all smaller values of the group. Values are unique per group."""
     group = list(group)
     place = _place(df, value)
@@ -32,9 +33,9 @@ def running_totals(df: DataFrame, group: Sequence[str], value: str, weight: str,
     splits = df.groupBy(*group).agg(
         F.array_distinct(F.percentile_approx(place, cuts, F.lit(2000))).alias("_splits")
     )
-    cut = df.join(splits, group).withColumn(
-        "_bucket", F.size(F.filter("_splits", lambda s: s < place))
-    ).drop("_splits")
+    cut = df.withColumn("_place", place).join(splits, group).withColumn(
+        "_bucket", F.size(F.filter("_splits", lambda s: s < F.col("_place")))
+    ).drop("_splits", "_place")
     totals = cut.groupBy(*group, "_bucket").agg(F.sum(weight).alias("_w"))
     offsets = totals.select(
         *group, "_bucket",
@@ -51,23 +52,26 @@ def running_totals(df: DataFrame, group: Sequence[str], value: str, weight: str,
     )
 
 
-def average_ranks(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
+def average_ranks(counted: DataFrame, group: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
     """(group, value, out): the average rank of every distinct value, ties sharing their mean rank."""
-    counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    return running_totals(counted, group, value, "_n").select(
+    per_value = counted.groupBy(*group, value).agg(F.sum(weight).alias("_n"))
+    return running_totals(per_value, group, value, "_n").select(
         *group, value, (F.col("before") + (F.col("_n") + 1) / 2.0).alias(out)
     )
 
 
 def spearman(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
-    """(group, n, rho) over rows where both values are known; NULL below 3 rows or without variance."""
+    """(group, n, rho) over rows where both values are known; NULL below 3 rows or without variance.
+
+    The rows are counted per (x, y) in one pass, which is written once; ranks and sums use the counts.
+    """
     group = list(group)
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    cells = known.groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("_c"))
+    cells = materialise(known.groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("_c")))
     ranked = (
-        cells.join(average_ranks(known, group, x, "_rx"), [*group, x])
-        .join(average_ranks(known, group, y, "_ry"), [*group, y])
-        .join(known.groupBy(*group).agg(F.count(F.lit(1)).alias("_total")), group)
+        cells.join(average_ranks(cells, group, x, "_c", "_rx"), [*group, x])
+        .join(average_ranks(cells, group, y, "_c", "_ry"), [*group, y])
+        .join(cells.groupBy(*group).agg(F.sum("_c").alias("_total")), group)
     )
     c = F.col("_c").cast("double")
     middle = (F.col("_total") + 1) / 2.0

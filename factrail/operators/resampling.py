@@ -19,7 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from factrail.session import parallelism
+from factrail.operators.ranking import running_totals
+from factrail.session import materialise, parallelism
 
 CHUNK = 65536
 BLOCKS = 2048
@@ -34,13 +35,15 @@ def hash_number(*parts: Column) -> Column:
 
 
 def cells_of(items: DataFrame, group: Sequence[str], stats: Sequence[str]) -> DataFrame:
-    """(group, stats, n, start): cells in the order of their numbers, with the first position of each."""
+    """(group, stats, n, start): cells in the order of their numbers, with the first position of each.
+
+    Counting the cells is the only pass over the items. It is written once, because positions, point
+    estimates and draws all start from it.
+    """
     group, stats = list(group), list(stats)
-    counted = items.groupBy(*group, *stats).agg(F.count(F.lit(1)).alias("n"))
+    counted = materialise(items.groupBy(*group, *stats).agg(F.count(F.lit(1)).alias("n")))
     # Running start per first number, then inside it: the window groups are (group, first number).
     first = counted.groupBy(*group, stats[0]).agg(F.sum("n").alias("_n"))
-    from factrail.operators.ranking import running_totals
-
     offsets = running_totals(first, group, stats[0], "_n").select(*group, stats[0], F.col("before").alias("_before"))
     inside = W.partitionBy(*group, stats[0]).orderBy(*stats[1:] or [stats[0]]).rowsBetween(W.unboundedPreceding, -1)
     return (
@@ -181,9 +184,9 @@ def bootstrap_gap_difference(
     """Paired bootstrap of the difference of two pooled gaps; ``items`` holds (group, ra, ta, rb, tb)."""
     group = list(group)
     stats = ["ra", "ta", "rb", "tb"]
-    point = items.groupBy(*group).agg(F.count(F.lit(1)).alias("n_items"), *[F.sum(s).alias(s) for s in stats])
-    point = point.select(*group, "n_items", _gap_difference().alias("diff"))
     cells = cells_of(items, group, stats)
+    point = cells.groupBy(*group).agg(F.sum("n").alias("n_items"), *[F.sum(F.col("n") * F.col(s)).alias(s) for s in stats])
+    point = point.select(*group, "n_items", _gap_difference().alias("diff"))
     draw = {"slots": slot_sums, "multinomial": multinomial_sums}[method]
     draws = draw(cells, group, stats, replicates=replicates, seed=seed).select(*group, "b", _gap_difference().alias("x"))
     return excludes_zero(point.join(percentiles(draws, group, "x", rule=rule), group, "left"))
@@ -197,13 +200,14 @@ def bootstrap_mean(
     group = list(group)
     value = F.col(num).cast("double") / F.col(den).cast("double")
     rows = items.select(*group, F.col(den).alias("_d"), F.col(num).alias("_k"), value.alias("x"))
-    point = rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_items"), F.avg("x").alias("mean"),
-        F.sum(F.when(F.col("x") > 1e-12, 1).otherwise(0)).alias("improved"),
-        F.sum(F.when(F.abs("x") <= 1e-12, 1).otherwise(0)).alias("unchanged"),
-        F.sum(F.when(F.col("x") < -1e-12, 1).otherwise(0)).alias("worsened"),
-    )
     cells = cells_of(rows.select(*group, "_d", "_k", "x"), group, ["_d", "_k", "x"])
+    n, x = F.col("n"), F.col("x")
+    point = cells.groupBy(*group).agg(
+        F.sum(n).alias("n_items"), (F.sum(n * x) / F.sum(n)).alias("mean"),
+        F.sum(F.when(x > 1e-12, n).otherwise(0)).alias("improved"),
+        F.sum(F.when(F.abs(x) <= 1e-12, n).otherwise(0)).alias("unchanged"),
+        F.sum(F.when(x < -1e-12, n).otherwise(0)).alias("worsened"),
+    )
     if method == "slots":
         sums = slot_draws(cells, group, replicates=replicates, seed=seed).groupBy(*group, "b").agg(F.avg("x").alias("x"))
     else:

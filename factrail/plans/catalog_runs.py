@@ -25,7 +25,7 @@ from factrail.plans.catalog_paths import (
 from factrail.plans.catalog_selection import FXC, SUMMARY, counts, rounded, sql_counts, sql_folds
 from factrail.plans.oracle_fixtures import FX_VIEWS, with_fx
 from factrail.plans.registry import query
-from factrail.session import materialise
+from factrail.session import materialise, parallelism
 from factrail.sources import readers
 
 # ---- channel states from the event table ---------------------------------------------------
@@ -418,7 +418,9 @@ FXT = (*FXC, "fx_order_text", "fx_durations")
 
 
 def text_counts(spark, sf):
-    t = X.order_texts(spark, sf).select("model", "item_id", "cand_idx", "asr1", "asr2", "asr3", T.normalize_text("plan_text").alias("pn"),
+    # Placed by the key of the joins below, so that the text work is spread and the joins need no other shuffle.
+    rows = X.order_texts(spark, sf).repartition(parallelism(spark), *S.CAND)
+    t = rows.select("model", "item_id", "cand_idx", "asr1", "asr2", "asr3", T.normalize_text("plan_text").alias("pn"),
                                         *[T.normalize_text(v).alias(f"n_{v}") for v in VIEWS])
     sims = t.select(*S.CAND, *[E.text_similarity("pn", f"n_{v}").alias(f"p_{v}") for v in VIEWS],
                     *[E.word_similarity(a, b).alias(f"t_{a}_{b}") for a, b in S.view_pairs()])

@@ -133,6 +133,7 @@ def rules_ctes(source: str) -> dict[str, str]:
     glued = "regexp_replace(s, '([0-9_])([A-Za-z]{3,})', '\\1\\2' || chr(1), 'g')"
     pattern = f"(?i:{L.CUES})|{L.DIGITS}|(?i:{L.NUMBER_WORDS})|{L.SYMBOL}|[A-Za-z]{{3,}}\\x01?"
     cue = "lower(w) IN (" + ", ".join(q(c) for c in L.NEGATION_CUES) + ")"
+    number_word = "lower(regexp_extract(w, '^[A-Za-z]+')) IN (" + ", ".join(q(k) for k in (*L.ONES, *L.TENS, *L.SCALES)) + ")"
     sym = f"length(w) <= 2 AND list_contains({lst(L.ELEMENT_SYMBOLS)}, w)"
     out = {
         "sh": f"SELECT item_id, {shadow('coalesce(text, chr(32))')} AS s FROM {source}",
@@ -150,7 +151,7 @@ def rules_ctes(source: str) -> dict[str, str]:
         "cap2": "SELECT *, lag(w) OVER (PARTITION BY item_id ORDER BY i) AS prev FROM cap",
         "r_capitalised": "SELECT DISTINCT item_id, 'proper_noun' AS type, lower(w) AS value, '+' AS polarity FROM cap2 WHERE prev IS NOT NULL AND regexp_matches(w, '^[A-Z]') AND NOT regexp_matches(prev, '^[.!?]')",
         "tk": f"SELECT item_id, generate_subscripts(k, 1) AS i, unnest(k) AS w FROM (SELECT item_id, {matches(glued, pattern)} AS k FROM sh WHERE regexp_matches(s, {q('(?i)' + L.CUES)}))",
-        "tk2": f"""SELECT item_id, i, {cue} AS cue, CASE WHEN regexp_matches(w, '^[0-9]') THEN {canon_number('w')} WHEN {cue} THEN NULL ELSE {number_text(words_number('w'))} END AS num,
+        "tk2": f"""SELECT item_id, i, {cue} AS cue, CASE WHEN regexp_matches(w, '^[0-9]') THEN {canon_number('w')} WHEN {cue} OR NOT {number_word} THEN NULL ELSE {number_text(words_number('w'))} END AS num,
  CASE WHEN {sym} THEN lower(w) END AS sym, {last('w', '[A-Za-z]{3,}')} AS word FROM tk""",
         "tk3": """SELECT *, CASE WHEN num IS NOT NULL THEN {'t': 'number', 'v': num} WHEN sym IS NOT NULL THEN {'t': 'proper_noun', 'v': sym} END AS cand FROM tk2""",
         "tk4": """SELECT item_id, cue, last_value(cand IGNORE NULLS) OVER w AS c, last_value(word IGNORE NULLS) OVER w AS word FROM tk3
