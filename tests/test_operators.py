@@ -48,12 +48,12 @@ def test_modes_need_every_companion(spark):
 def test_loss_kinds_against_brute_force(spark):
     rng = random.Random(3)
     facts, seen = [], []
-    for item in map(str, range(30)):
+    for item in map(str, range(60)):
         seen += [(item, "SPEAK", "internal"), (item, "SPEAK", "asr1")]
         for view in ("internal", "asr1"):
             for _ in range(rng.randint(0, 8)):
                 t = rng.choice(["number", "content", "negation"])
-                v = str(rng.choice([-40, -3, 0, 1, 2, 3, 5, 7.5, 90, 100, 1000, "x"])) if t == "number" else rng.choice("pqr")
+                v = str(rng.choice([-40, -33, -3, 0, 1, 2, 3, 5, 7.5, 90, 95, 100, 110, 1000, 1200, "x"])) if t == "number" else rng.choice("pqr")
                 facts.append((item, "SPEAK", view, t, v, rng.choice("+-")))
     p, o = tables(spark, facts, seen)
     got = {(r.item_id, r.type, r.value, r.polarity): r.kind for r in P.classify_losses(p, spoken("SPEAK"), planned("SPEAK"), o).collect()}
@@ -66,7 +66,7 @@ def test_loss_kinds_against_brute_force(spark):
         except ValueError:
             return None
 
-    for item in map(str, range(30)):
+    for item in map(str, range(60)):
         up, down = sets(item, "internal"), sets(item, "asr1")
         for t, v, pol in up - down:
             same = [d for d in down if d[0] == t]

