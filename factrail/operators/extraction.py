@@ -101,10 +101,15 @@ def extract_facts(
     return shadowed.withColumn(out, F.expr(f"array_sort(array_distinct(concat({parts})))")).drop("_shadow")
 
 
-def facts_long(df: DataFrame, keys: list[str], facts: str = "facts") -> DataFrame:
-    """One row per distinct fact; a missing polarity is '+'."""
+def facts_long(df: DataFrame, keys: list[str], facts: str = "facts", *, distinct: bool = True) -> DataFrame:
+    """One row per fact; a missing polarity is '+'.
+
+    ``distinct=False`` saves the shuffle where keys are unique and every array is free of repeats,
+    as ``extract_facts`` leaves it.
+    """
     rows = df.select(*keys, F.explode(facts).alias("f"))
-    return rows.select(*keys, "f.type", "f.value", F.coalesce("f.polarity", F.lit("+")).alias("polarity")).distinct()
+    out = rows.select(*keys, "f.type", "f.value", F.coalesce("f.polarity", F.lit("+")).alias("polarity"))
+    return out.distinct() if distinct else out
 
 
 def parse_model_output(df: DataFrame, raw: str) -> DataFrame:

@@ -156,7 +156,7 @@ RULE_CTES = {**TEXTS, **O.rules_ctes("texts")}
 
 def rule_query(rules: tuple[str, ...] | None, with_names: bool = True):
     def run(spark, sf):
-        return X.facts_long(X.extract_facts(texts(spark, sf), "text", rules=rules, with_names=with_names), ["item_id"])
+        return X.facts_long(X.extract_facts(texts(spark, sf), "text", rules=rules, with_names=with_names), ["item_id"], distinct=False)
 
     return run
 
