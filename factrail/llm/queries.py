@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factrail.llm import exact_dedup, jaccard_join, mixing
+from factrail.llm import exact_dedup, jaccard_join, mixing, packing, token_output
 from factrail.llm.common import ASCII_LOWER, ASCII_UPPER, documents, ship
 
 QUERIES: dict = {}
@@ -36,6 +36,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(documents(spark, sf_dir))
 
 
+@query("op2_token_output")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_output.scratch_path(spark)
+    token_output.write_tokens(documents(spark, sf_dir), path)
+    return token_output.token_digests(spark, path)
+
+
 @query("op7_exact_dedup", f"""
 WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
@@ -44,6 +51,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(documents(spark, sf_dir))
 
 
+@query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(documents(spark, sf_dir))
+
+
 @query("op10_mixing", f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
                   md5('{mixing.SEED}:' || doc_id) AS draw FROM documents),
