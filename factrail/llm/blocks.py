@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_ROWS = 4096
 BLOCK_BYTES = 1 << 20
@@ -93,8 +94,13 @@ def spans(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray) -> tuple[np
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """64-bit hashes of byte spans (ascending, disjoint): a polynomial over scrambled bytes, scrambled again."""
+    return hash_nested(data, starts, ends, (), fold)[0]
+
+
+def hash_nested(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inner: tuple[np.ndarray, ...], fold: bool = True) -> list[np.ndarray]:
+    """Hashes of spans and of spans with the same starts that end earlier."""
     table = _LOWER if fold else _EXACT
-    out = np.empty(len(starts), np.uint64)
+    out = [np.empty(len(starts), np.uint64) for _ in range(1 + len(inner))]
     i = 0
     while i < len(starts):
         a = starts[i]
@@ -103,9 +109,10 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
         up, down = _ramps(int(b - a))
         total = np.zeros(b - a + 1, np.uint64)
         np.cumsum(table[data[a:b]] * up[: b - a], out=total[1:])
-        out[i:j] = (total[ends[i:j] - a] - total[starts[i:j] - a]) * down[starts[i:j] - a]
+        for result, stop in zip(out, (ends, *inner)):
+            result[i:j] = (total[stop[i:j] - a] - total[starts[i:j] - a]) * down[starts[i:j] - a]
         i = j
-    return mix(out + np.uint64(0x5851F42D4C957F2D))
+    return [mix(x + np.uint64(0x5851F42D4C957F2D)) for x in out]
 
 
 def word_hashes(offsets: np.ndarray, data: np.ndarray, fold: bool = True, inside: np.ndarray = WORD):
@@ -113,6 +120,16 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray, fold: bool = True, inside
     return row, starts, ends, hash_spans(data, starts, ends, fold)
 
 
+LETTERS = np.zeros(256, bool)
+LETTERS[97:123] = True
+LETTERS[128:] = True
+
+
+def lowered(column: pa.Array) -> pa.Array:
+    """Lower-cased text; words are then runs of LETTERS (a-z and all bytes of other scripts)."""
+    return pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
+
+
 HASH_BITS = 52
 
 

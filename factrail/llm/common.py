@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factrail.session import checkpoint_dir, materialise, parallelism
 
-__all__ = ["ASCII_UPPER", "ASCII_LOWER", "checkpoint_dir", "components", "documents", "lower_ascii", "materialise", "parallelism", "ship", "stored"]
+__all__ = ["ASCII_UPPER", "ASCII_LOWER", "checkpoint_dir", "components", "documents", "held_out", "lower_ascii", "materialise", "parallelism", "ship", "stored"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -36,6 +36,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def held_out(doc_id):
+    """Whether crc32 of the id as text is divisible by 5; rows without an id are never learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
 def lower_ascii(column):
     """Lower-cases A-Z only; null counts as empty."""
     return F.translate(F.coalesce(column, F.lit("")), ASCII_UPPER, ASCII_LOWER)

@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factrail.llm import exact_dedup, jaccard_join, mixing, packing, token_output
+from factrail.llm import exact_dedup, fingerprints, jaccard_join, langid, mixing, packing, pii, token_output, toxicity
 from factrail.llm.common import ASCII_LOWER, ASCII_UPPER, documents, ship
 
 QUERIES: dict = {}
@@ -43,6 +43,21 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(spark, path)
 
 
+@query("op3_langid")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(documents(spark, sf_dir))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op6_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
 @query("op7_exact_dedup", f"""
 WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
@@ -56,6 +71,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir))
 
 
+@query("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 @query("op10_mixing", f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
                   md5('{mixing.SEED}:' || doc_id) AS draw FROM documents),
