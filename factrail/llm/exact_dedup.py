@@ -55,7 +55,7 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns."""
-    rows = docs.withColumn("digest_", digest(F.col("text")))
+    rows = docs.select(F.struct(*docs.columns).alias("row_"), "doc_id", digest(F.col("text")).alias("digest_"))
     winners = heavy_hitters(rows.select("doc_id", "digest_"))
     _, rest = _survivors(rows, winners)
-    return rest.where("place_ = 1").select(*docs.columns)
+    return rest.where("place_ = 1").select("row_.*")

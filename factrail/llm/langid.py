@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from factrail.llm.blocks import LETTERS, batches_of, hash_spans, lowered, mix, spans, text_blocks
 from factrail.llm.common import held_out
@@ -39,6 +40,8 @@ RATE = 0.25
 L2 = 1e-4
 CHUNK = 64
 SLOTS = 1 << 19
+#: A text is rejected if no language holds this mean share of its words.
+MIN_SCORE = 0.3
 
 
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray], h: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,35 +264,53 @@ class _Memory:
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
+def _scored(texts: pa.Array, letters: np.ndarray, model: Model, memory: _Memory) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, best language, score, whether there is one) of each block."""
+    k = len(model.languages)
+    for lo, row, starts, ends, h, data, rows in _words(texts):
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        e = memory.values[slot].astype(np.float64)
+        miss = np.flatnonzero(memory.keys[slot] != h)
+        if len(miss):
+            _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            ascending = np.argsort(one, kind="stable")
+            new = miss[one[ascending]]
+            found = emissions(model.weights, *word_features(data, starts[new], ends[new], model.lexicon, h[new], k))
+            spot = np.empty(len(one), np.int64)
+            spot[ascending] = np.arange(len(one))
+            e[miss] = found[spot[back]]
+            memory.keys[slot[new]] = h[new]
+            memory.values[slot[new]] = found
+        gamma = posteriors(e, row, rows, model.transition, model.start)
+        mass = np.stack([np.bincount(row, weights=gamma[:, i], minlength=rows) for i in range(k)], axis=1)
+        count = np.bincount(row, minlength=rows)
+        known = letters[lo : lo + rows] & (count > 0)
+        best = mass.argmax(axis=1)
+        yield lo, best, np.where(known, np.clip(mass[np.arange(rows), best] / np.maximum(count, 1), 0, 1), 0.0), known
+
+
 def _predict(shared, query: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        k = len(model.languages)
-        memory = _Memory.of(query, k)
+        memory = _Memory.of(query, len(model.languages))
         names = np.array(model.languages, dtype=object)
         for batch in batches:
-            for lo, row, starts, ends, h, data, rows in _words(batch.column(2)):
-                slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-                e = memory.values[slot].astype(np.float64)
-                miss = np.flatnonzero(memory.keys[slot] != h)
-                if len(miss):
-                    _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
-                    new = np.sort(miss[one])
-                    found = emissions(model.weights, *word_features(data, starts[new], ends[new], model.lexicon, h[new], k))
-                    sorted_new = np.argsort(miss[one], kind="stable")
-                    spot = np.empty(len(one), np.int64)
-                    spot[sorted_new] = np.arange(len(one))
-                    e[miss] = found[spot[back]]
-                    memory.keys[slot[new]] = h[new]
-                    memory.values[slot[new]] = found
-                gamma = posteriors(e, row, rows, model.transition, model.start)
-                mass = np.stack([np.bincount(row, weights=gamma[:, i], minlength=rows) for i in range(k)], axis=1)
-                count = np.bincount(row, minlength=rows)
-                letters = batch.column(3).slice(lo, rows).to_numpy(zero_copy_only=False).astype(bool)
-                known = letters & (count > 0)
-                best = mass.argmax(axis=1)
-                score = np.where(known, mass[np.arange(rows), best] / np.maximum(count, 1), 0.0)
-                yield batches_of(_OUT, (batch.column(0).slice(lo, rows), batch.column(1).slice(lo, rows), np.where(known, names[best], "und").tolist(), np.clip(score, 0, 1)))
+            letters = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, best, score, known in _scored(batch.column(2), letters, model, memory):
+                yield batches_of(_OUT, (batch.column(0).slice(lo, len(best)), batch.column(1).slice(lo, len(best)), np.where(known, names[best], "und").tolist(), score))
+
+    return run
+
+
+def _filter(shared, query: str, min_score: float):
+    """Rows (text, has letters, columns to keep) whose language is known with at least min_score."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        memory = _Memory.of(query, len(model.languages))
+        for batch in batches:
+            letters = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, best, score, known in _scored(batch.column(0), letters, model, memory):
+                yield batch.slice(lo, len(best)).select([2]).filter(pa.array(known & (score >= min_score)))
 
     return run
 
@@ -309,13 +330,27 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     return fit([r.text for r in sample], [r.lang for r in sample])
 
 
+def _has_letter(text):
+    return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
+
+
 def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text; lang only to train)."""
     spark = docs.sparkSession
     model = model or train(docs)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text"),
-                       F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text"), _has_letter(F.col("text")).alias("letters"))
     if model is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast(model)
     return rows.mapInArrow(_predict(shared, uuid.uuid4().hex), "doc_id bigint, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, min_score: float = MIN_SCORE, model: Model | None = None) -> DataFrame:
+    """The rows, with all columns, whose language is known with at least min_score; no row moves."""
+    model = model or train(docs)
+    if model is None:
+        return docs.where(F.lit(False))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col("text"), _has_letter(F.col("text")).alias("letters_"), F.struct(*docs.columns).alias("row_"))
+    kept = StructType([StructField("row_", docs.schema)])
+    return rows.mapInArrow(_filter(shared, uuid.uuid4().hex, min_score), kept).select("row_.*")

@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factrail.llm import exact_dedup, fingerprints, jaccard_join, langid, mixing, packing, pii, token_output, toxicity
+from factrail.llm import exact_dedup, fingerprints, jaccard_join, langid, mixing, packing, pii, token_output, toxicity, url_filter
 from factrail.llm.common import ASCII_LOWER, ASCII_UPPER, documents, ship
 
 QUERIES: dict = {}
@@ -53,6 +53,39 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+_KEYS = r"""
+p AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS fetched_on,
+             nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', ''), '') AS host,
+             regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/', 1) AS segment FROM pages),
+k AS (SELECT page_id, host, fetched_on, unnest(list_distinct(list_concat(
+             list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+             CASE WHEN segment <> '' THEN [host || '/' || segment || '/'] ELSE [] END))) AS key FROM p WHERE host IS NOT NULL)"""
+
+
+def _digit(at: int, size: int) -> str:
+    return f"('0x' || substr(d, {at}, {size}))::INT"
+
+
+@query("op5_url_filter", f"""
+WITH {_KEYS},
+l AS (SELECT key, md5(key) AS d FROM (SELECT DISTINCT key FROM k)),
+s AS (SELECT * FROM l WHERE {_digit(9, 1)} < 10),
+e AS (SELECT key, DATE '2024-01-01' + {_digit(1, 2)} AS valid_from, CASE WHEN {_digit(10, 1)} < 11 THEN 'block' ELSE 'allow' END AS action FROM s
+      UNION ALL SELECT key, DATE '2024-01-01' + ({_digit(1, 2)} + 1 + {_digit(3, 2)}), 'remove' FROM s WHERE {_digit(11, 1)} < 8
+      UNION ALL SELECT key, DATE '2024-01-01' + ({_digit(1, 2)} + 1 + {_digit(3, 2)} + {_digit(5, 2)}), CASE WHEN {_digit(12, 1)} < 8 THEN 'block' ELSE 'allow' END
+      FROM s WHERE {_digit(11, 1)} < 4),
+f AS (SELECT key, valid_from, arg_max(action, CASE action WHEN 'block' THEN 3 WHEN 'allow' THEN 2 ELSE 1 END) AS action FROM e GROUP BY ALL),
+v AS (SELECT *, lead(valid_from) OVER (PARTITION BY key ORDER BY valid_from) AS valid_to FROM f),
+h AS (SELECT k.page_id, v.key, v.action, v.valid_from,
+             row_number() OVER (PARTITION BY k.page_id ORDER BY length(v.key) DESC, v.key DESC, v.action DESC, v.valid_from DESC) AS r
+      FROM k JOIN v ON k.key = v.key AND k.fetched_on >= v.valid_from AND (v.valid_to IS NULL OR k.fetched_on < v.valid_to) WHERE v.action <> 'remove')
+SELECT p.page_id, p.host, p.fetched_on, coalesce(h.action, 'none') AS verdict, h.key AS matched_key, h.valid_from AS listed_on
+FROM p LEFT JOIN h ON p.page_id = h.page_id AND h.r = 1""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judged(url_filter.derived_captures(pages), url_filter.derived_entries(pages))
+
+
 @query("op6_fingerprints")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir))
@@ -95,3 +128,10 @@ z AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.whole, round(q.target)
 SELECT doc_id, size, source_size, target, (whole * size + greatest(least(size, quota - before), 0))::BIGINT AS taken FROM z""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(documents(spark, sf_dir))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
