@@ -192,9 +192,15 @@ def number_text_sql(value: str) -> str:
     science = "concat(regexp_replace(substring_index(e, 'e', 1), '[.]?0+$', ''), 'e', substring_index(e, 'e', -1))"
     general = let("e", "format_string('%.5e', v)", let(
         "x", "CAST(substring_index(e, 'e', -1) AS INT)", f"CASE WHEN x = 5 THEN CAST(CAST(rint(v) AS BIGINT) AS STRING) WHEN x BETWEEN -4 AND 4 THEN {fixed} ELSE {science} END"))
-    whole = (
-        "CASE WHEN abs(v) < 9.0e18D THEN CAST(CAST(v AS BIGINT) AS STRING) "
-        "WHEN abs(v) < 1.0e37D THEN CAST(CAST(v AS DECIMAL(38,0)) AS STRING) ELSE format_string('%.0f', v) END")
+    # Beyond a BIGINT the double is mantissa * 2^e: the mantissa is doubled e times in limbs of nine digits, so every digit is exact.
+    twice = ("(acc, i) -> concat(transform(acc, (l, j) -> (l * 2) % 1000000000 + CASE WHEN j > 0 AND acc[j - 1] * 2 >= 1000000000 THEN 1 ELSE 0 END), "
+             "CASE WHEN element_at(acc, -1) * 2 >= 1000000000 THEN array(1L) ELSE CAST(array() AS ARRAY<BIGINT>) END)")
+    limbs = "array(b.m % 1000000000, (b.m div 1000000000) % 1000000000)"
+    digits = "regexp_replace(array_join(transform(reverse(d), x -> lpad(CAST(x AS STRING), 9, '0')), ''), '^0+', '')"
+    binary = let("e", "CAST(floor(log2(abs(v))) AS INT) - 54", let(
+        "b", "named_struct('e', e, 'm', CAST(abs(v) / pow(2D, e) AS BIGINT))",
+        f"concat(CASE WHEN v < 0 THEN '-' ELSE '' END, {let('d', f'aggregate(sequence(1, b.e), {limbs}, {twice})', digits)})"))
+    whole = f"CASE WHEN abs(v) < 9.0e18D THEN CAST(CAST(v AS BIGINT) AS STRING) ELSE {binary} END"
     return let("v", value, (
         "CASE WHEN v IS NULL OR isnan(v) OR abs(v) = CAST('Infinity' AS DOUBLE) THEN NULL "
         f"WHEN abs(v - rint(v)) < 1e-9D THEN {whole} ELSE {general} END"))

@@ -34,7 +34,7 @@ def enriched_sample(candidates: DataFrame, n: int, seed: int) -> DataFrame:
 
     Inside a stratum the (model, category) cells give one row each per round, every cell in descending
     hash order; unfilled places are taken from all remaining rows in ascending order of a second hash.
-    Too few candidates leave fewer rows (``sample_shortfall`` reports it).
+    Fewer than ``n`` candidates raise an error when the rows are computed.
     """
     s = str(seed)
     cell_hash = sha(s, F.concat_ws(",", "model", "category"), F.col("run_id"), F.col("item_id"))
@@ -53,6 +53,10 @@ def enriched_sample(candidates: DataFrame, n: int, seed: int) -> DataFrame:
         rest.select(*candidates.columns, F.lit(1).alias("_late"), "_f"))
     sample = both.orderBy("_late", "_f", *IDENTITY).limit(n).drop("_late", "_f")
     number = F.row_number().over(W.orderBy("stratum", "model", "category", "item_id"))
+    # One row whatever the sample holds, so that an empty one fails too.
+    found = sample.agg(F.count(F.lit(1)).alias("_found")).select(
+        F.when(F.col("_found") < n, F.raise_error(F.format_string(f"cannot select {n} rows from %d candidates", "_found")).cast("int")).otherwise(F.lit(1)).alias("_enough"))
+    sample = found.where("_enough = 1").join(sample, F.lit(True), "left").drop("_enough")
     return sample.withColumn("audit_id", F.format_string("three_asr_%03d", number))
 
 
@@ -110,9 +114,9 @@ def audit_candidates(predictions: DataFrame, strata: DataFrame) -> DataFrame:
 
 
 def packet(candidates: DataFrame) -> DataFrame:
-    """The nested packet row: transcripts in a struct, empty human labels."""
+    """The nested packet row: transcripts in a struct; labels are NULL until someone gives them."""
     blank = lambda: F.struct(
-        F.lit(None).cast("string").alias("transcript"), F.array().cast("array<struct<type:string,value:string,polarity:string>>").alias("facts"),
+        F.lit(None).cast("string").alias("transcript"), F.lit(None).cast("array<struct<type:string,value:string,polarity:string>>").alias("facts"),
         F.lit(None).cast("string").alias("notes"))
     return candidates.withColumn("asr", F.struct("asr1", "asr2", "asr3")).withColumn(
         "human", F.struct(blank().alias("annotator_1"), blank().alias("annotator_2"), blank().alias("adjudicated")))

@@ -113,8 +113,12 @@ def facts_long(df: DataFrame, keys: list[str], facts: str = "facts", *, distinct
 
 
 def parse_model_output(df: DataFrame, raw: str) -> DataFrame:
-    """Adds ``facts_llm`` and ``llm_error`` from the JSON an external extractor returned."""
-    schema = "facts array<struct<type:string,value:string,polarity:string>>, _bad string"
+    """Adds ``facts_llm`` and ``llm_error`` from the JSON an external extractor returned.
+
+    Elements of ``facts`` are parsed one by one, so one that is no object costs no other; the object must be all there is
+    between the first and the last brace.
+    """
+    schema = "facts array<string>, _bad string"
     body = F.expr(f"regexp_extract({raw}, '(?s)[{{].*[}}]', 0)")
     parsed = df.withColumn("_json", body).withColumn(
         "_p", F.from_json("_json", schema, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
@@ -124,10 +128,11 @@ def parse_model_output(df: DataFrame, raw: str) -> DataFrame:
     one = T.let("k", "lower(trim(f.type))", T.let("c", canon, (
         "CASE WHEN coalesce(c, '') <> '' THEN named_struct('type', k, 'value', c, 'polarity', "
         "CASE WHEN startswith(trim(coalesce(f.polarity, '+')), '-') THEN '-' ELSE '+' END) END")))
-    facts = f"array_sort(array_distinct(filter(transform(coalesce(_p.facts, array()), f -> {one}), f -> f IS NOT NULL)))"
+    objects = "transform(filter(coalesce(_p.facts, array()), e -> startswith(trim(e), '{')), e -> from_json(e, 'type string, value string, polarity string'))"
+    facts = f"array_sort(array_distinct(filter(transform({objects}, f -> {one}), f -> f IS NOT NULL)))"
     error = (
         f"CASE WHEN coalesce({raw}, '') = '' THEN 'empty output' WHEN _json = '' THEN concat('no JSON object in output: ', substring({raw}, 1, 120)) "
-        "WHEN _p IS NULL OR _p._bad IS NOT NULL THEN 'json decode error' END")
+        "WHEN _p IS NULL OR _p._bad IS NOT NULL OR coalesce(json_array_length(concat('[', _json, ']')), 0) <> 1 THEN 'json decode error' END")
     return (
         parsed.withColumn("llm_error", F.expr(error))
         .withColumn("facts_llm", F.expr(f"CASE WHEN llm_error IS NULL THEN {facts} ELSE CAST(array() AS {FACT_ARRAY}) END"))
