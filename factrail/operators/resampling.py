@@ -6,9 +6,12 @@ with a multiplicity. Two exact ways to draw with replacement are offered:
 * ``slots``: draw j of replicate b picks position md5(seed, group, b, j) mod n on the line of items
   ordered by cell; the position is mapped to its cell by a range lookup. Native expressions only, no
   shuffle of the draws (they are counted per replicate on the map side), reproducible in any engine.
-* ``multinomial``: a block of replicates draws the multiplicities of the cells of its group at once in
-  an Arrow batch; the work is replicates x cells and does not grow with the number of items. The
-  generator is keyed by (seed, group, block), so the result does not depend on the partitioning.
+* ``multinomial``: a block of replicates draws the multiplicities of the cells in an Arrow batch; the
+  work is replicates x cells and does not grow with the number of items. Cells travel in parts of at
+  most PART cells: every part draws from the same generator how many items of a replicate fall to each
+  part, and then, from its own, how they fall to its cells, which together is the multinomial draw of
+  all cells. A row's sums are added up per replicate. Generators are keyed by (seed, group, block,
+  part), so the result does not depend on the partitioning, and no group has a largest size.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from factrail.session import materialise, parallelism
 
 CHUNK = 65536
 BLOCKS = 2048
-MAX_CELLS = 200_000
+PART = 4096
 BLOCK = 128
 
 
@@ -91,29 +94,39 @@ def slot_sums(cells: DataFrame, group: Sequence[str], stats: Sequence[str], *, r
     return draws.groupBy(*group, "b").agg(*[F.sum(s).alias(s) for s in stats])
 
 
-def bounded(cells: DataFrame, group: Sequence[str], message: str) -> DataFrame:
-    """The cells, or an error raised on the rows before anything is packed if a group has too many."""
+def _parts(cells: DataFrame, group: Sequence[str], order: Sequence[str], fields: list[Column], counts: Sequence[str]) -> DataFrame:
+    """(group, _part, _cell, _totals): the cells in parts of about PART, each with the list of all parts' counts.
+
+    The parts of a group follow a hash of the cell, so a group of any size is dealt out evenly; the list of totals
+    has one entry per part.
+    """
+    group = list(group)
     sizes = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("_cells"))
-    over = F.when(F.col("_cells") > MAX_CELLS, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True))
-    return cells.join(sizes, list(group)).where(over).drop("_cells")
+    slot = F.pmod(F.xxhash64(*order), F.expr(f"(_cells - 1) div {PART} + 1")).alias("_part")
+    dealt = cells.join(sizes, group).select(*group, slot, *counts, F.struct(*fields).alias("_c"))
+    parts = dealt.groupBy(*group, "_part").agg(F.sort_array(F.collect_list("_c")).alias("_cell"), *[F.sum(c).alias(f"_sum_{c}") for c in counts])
+    totals = parts.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_part", *[f"_sum_{c}" for c in counts]))).alias("_totals"))
+    return parts.join(totals, group).select(*group, "_part", "_cell", "_totals")
 
 
-def multinomial_sums(cells: DataFrame, group: Sequence[str], stats: Sequence[str], *, replicates: int, seed: int) -> DataFrame:
-    """As ``slot_sums``, from multinomial multiplicities of the cells.
+def _jobs(parts: DataFrame, group: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """A row for each part and block of replicates."""
+    jobs = parts.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK)))).withColumn(
+        "_salt", hash_number(F.lit(seed), *[F.col(g) for g in group]))
+    return jobs.repartition(parallelism(parts.sparkSession), *group, "_part", "_block")
 
-    The cells of a group travel as one array, so their number is checked: a group with more cells
-    than ``MAX_CELLS`` raises and asks for the slot draws, which have no such bound.
-    """
+
+def _generators(seed: int, row) -> tuple[np.random.Generator, np.random.Generator]:
+    """The generator that all parts of a block share, and the part's own."""
+    key = [seed, int(row["_salt"]), int(row["_block"])]
+    return tuple(np.random.Generator(np.random.PCG64(np.random.SeedSequence(k))) for k in (key, [*key, int(row["_part"]) + 1]))
+
+
+def multinomial_sums(cells: DataFrame, group: Sequence[str], stats: Sequence[str], *, replicates: int, seed: int) -> DataFrame:
+    """As ``slot_sums``, from multinomial multiplicities of the cells, for any number of cells."""
     group, stats = list(group), list(stats)
-    packed = bounded(cells, group, "too many cells for multinomial draws; use slot draws").groupBy(*group).agg(
-        F.sum("n").alias("_size"),
-        F.collect_list(F.struct("start", "n", *[F.col(s).cast("double").alias(s) for s in stats])).alias("_cell"),
-    )
-    block = BLOCK
-    jobs = packed.withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // block)))
-    ).withColumn("_salt", hash_number(F.lit(seed), *[F.col(g) for g in group]))
-    jobs = jobs.repartition(parallelism(cells.sparkSession), *group, "_block")
+    fields = ["start", "n", *[F.col(s).cast("double").alias(s) for s in stats]]
+    jobs = _jobs(_parts(cells, group, ["start"], fields, ["n"]), group, replicates, seed)
     schema = T.StructType(
         [cells.schema[g] for g in group]
         + [T.StructField("b", T.IntegerType())]
@@ -123,21 +136,23 @@ def multinomial_sums(cells: DataFrame, group: Sequence[str], stats: Sequence[str
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                cell = sorted(row["_cell"], key=lambda c: c["start"])
+                cell = row["_cell"]
                 counts = np.array([c["n"] for c in cell], dtype=np.int64)
                 values = np.array([[c[s] for s in stats] for c in cell])
-                p = counts / counts.sum()
-                lo = int(row["_block"]) * block
-                bs = np.arange(lo, min(lo + block, replicates))
-                rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, int(row["_salt"]), int(row["_block"])])))
-                sums = rng.multinomial(int(row["_size"]), p, size=len(bs)) @ values
+                lo = int(row["_block"]) * BLOCK
+                bs = np.arange(lo, min(lo + BLOCK, replicates))
+                shared, own = _generators(seed, row)
+                totals = np.array([t["_sum_n"] for t in row["_totals"]], dtype=np.int64)
+                at = [t["_part"] for t in row["_totals"]].index(row["_part"])
+                share = shared.multinomial(int(totals.sum()), totals / totals.sum(), size=len(bs))[:, at]
+                sums = own.multinomial(share, counts / counts.sum()) @ values
                 out = pd.DataFrame({g: [row[g]] * len(bs) for g in group})
                 out["b"] = bs.astype("int32")
                 for j, s in enumerate(stats):
                     out[s] = sums[:, j]
                 yield out
 
-    return jobs.mapInPandas(draw, schema)
+    return jobs.mapInPandas(draw, schema).groupBy(*group, "b").agg(*[F.sum(s).alias(s) for s in stats])
 
 
 def percentiles(draws: DataFrame, group: Sequence[str], statistic: str, *, rule: str = "nearest") -> DataFrame:
@@ -223,44 +238,43 @@ def permutation_test(
     """Two-sided test of a difference of means; the labels are drawn anew for every replicate.
 
     The statistic needs only how many of each distinct value fall into the first group: a
-    multivariate hypergeometric draw over the counted values. ``permutation_test_ordered`` has no
-    bound on the number of distinct values. p = (hits + 1) / (replicates + 1), NULL when a group has
-    fewer than two rows.
+    multivariate hypergeometric draw over the counted values, made in parts as the multinomial one is. The
+    generator takes fewer than 10^9 rows per group; ``permutation_test_ordered`` has no such bound.
+    p = (hits + 1) / (replicates + 1), NULL when a group has fewer than two rows.
     """
     group = list(group)
     cells = rows.groupBy(*group, F.col(value).cast("double").alias("x")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("na"))
-    packed = bounded(cells, group, "too many distinct values; use the ordered test").groupBy(*group).agg(
-        F.collect_list(F.struct("x", "n", "na")).alias("_cell"))
-    block = BLOCK
-    jobs = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // block))))
-    jobs = jobs.withColumn("_salt", hash_number(F.lit(seed), *[F.col(g) for g in group]))
-    jobs = jobs.repartition(parallelism(rows.sparkSession), *group, "_block")
-    schema = T.StructType([rows.schema[g] for g in group] + [
-        T.StructField("hits", T.LongType()), T.StructField("diff", T.DoubleType()),
-        T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType())])
+    cells = materialise(cells)
+    x, n, na = F.col("x"), F.col("n"), F.col("na")
+    whole = cells.groupBy(*group).agg(F.sum("n").alias("_n"), F.sum("na").alias("n_a"), F.sum(n * x).alias("_s"), F.sum(na * x).alias("_sa"))
+    n_a, n_b = F.col("n_a"), F.col("_n") - F.col("n_a")
+    difference = lambda first: F.try_divide(first, n_a.cast("double")) - F.try_divide(F.col("_s") - first, n_b.cast("double"))
+    jobs = _jobs(_parts(cells, group, ["x"], ["x", "n"], ["n", "na"]), group, replicates, seed)
+    schema = T.StructType([rows.schema[g] for g in group] + [T.StructField("b", T.IntegerType()), T.StructField("first", T.DoubleType())])
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                cell = sorted(row["_cell"], key=lambda c: c["x"])
-                x = np.array([c["x"] for c in cell])
-                n = np.array([c["n"] for c in cell], dtype=np.int64)
-                a = np.array([c["na"] for c in cell], dtype=np.int64)
-                na, nb = int(a.sum()), int(n.sum() - a.sum())
-                diff = (a @ x / na - (n - a) @ x / nb) if na and nb else None
-                hits = None
-                if na >= 2 and nb >= 2:
-                    lo = int(row["_block"]) * block
-                    rng = np.random.Generator(np.random.PCG64(np.random.SeedSequence([seed, int(row["_salt"]), int(row["_block"])])))
-                    k = rng.multivariate_hypergeometric(n, na, size=min(block, replicates - lo), method="marginals")
-                    hits = int((np.abs(k @ x / na - (n - k) @ x / nb) >= abs(diff) - 1e-12).sum())
-                yield pd.DataFrame([{**{g: row[g] for g in group}, "hits": hits, "diff": diff, "n_a": na, "n_b": nb}])
-
-    out = jobs.mapInPandas(draw, schema).groupBy(*group).agg(
-        F.sum("hits").alias("_hits"), F.first("diff").alias("diff"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    p = (F.col("_hits") + 1) / F.lit(replicates + 1)
-    return out.select(*group, "n_a", "n_b", "diff", p.alias("p_value"))
+                x = np.array([c["x"] for c in row["_cell"]])
+                n = np.array([c["n"] for c in row["_cell"]], dtype=np.int64)
+                totals = np.array([t["_sum_n"] for t in row["_totals"]], dtype=np.int64)
+                taken = sum(int(t["_sum_na"]) for t in row["_totals"])
+                lo = int(row["_block"]) * BLOCK
+                bs = np.arange(lo, min(lo + BLOCK, replicates))
+                shared, own = _generators(seed, row)
+                at = [t["_part"] for t in row["_totals"]].index(row["_part"])
+                share = shared.multivariate_hypergeometric(totals, taken, size=len(bs), method="marginals")[:, at]
+                out = pd.DataFrame({g: [row[g]] * len(bs) for g in group})
+                out["b"] = bs.astype("int32")
+                out["first"] = [float(own.multivariate_hypergeometric(n, int(k), method="marginals") @ x) for k in share]
+                yield out
+
+    sums = jobs.mapInPandas(draw, schema).groupBy(*group, "b").agg(F.sum("first").alias("first"))
+    hits = sums.join(whole, group).groupBy(*group).agg(
+        F.count_if(F.abs(difference(F.col("first"))) >= F.abs(difference(F.col("_sa"))) - 1e-12).alias("_hits"))
+    p = F.when((n_a >= 2) & (n_b >= 2), (F.col("_hits") + 1) / F.lit(replicates + 1))
+    return whole.join(hits, group, "left").select(*group, "n_a", n_b.alias("n_b"), difference(F.col("_sa")).alias("diff"), p.alias("p_value"))
 
 
 def permutation_test_ordered(
