@@ -860,7 +860,10 @@ def r05(spark, sf):
 
 # ---- the stream ----------------------------------------------------------------------------
 
-@query("d06_stream_ledger")
+SQL_D06 = "SELECT channel, count(*) FILTER (error IS NULL) AS done, count(*) FILTER (error IS NOT NULL) AS failed FROM (SELECT event_type AS channel, user_id, arg_max(CASE WHEN event_id % 10 = 0 THEN 'timeout' END, (ts, event_id)) AS e, arg_max(event_id, (ts, event_id)) AS ev, CASE WHEN arg_max(event_id, (ts, event_id)) % 10 = 0 THEN 'timeout' END AS error FROM events GROUP BY event_type, user_id) GROUP BY channel"
+
+
+@query("d06_stream_ledger", SQL_D06)
 def d06(spark, sf):
     """Replays the event table through a file stream and returns the ledger of the last snapshot."""
     from factrail.streaming import run
@@ -868,7 +871,7 @@ def d06(spark, sf):
     return run.replay_ledger(spark, f"{sf}/events.parquet")
 
 
-@query("d06_batch_ledger", "SELECT channel, count(*) FILTER (error IS NULL) AS done, count(*) FILTER (error IS NOT NULL) AS failed FROM (SELECT event_type AS channel, user_id, arg_max(CASE WHEN event_id % 10 = 0 THEN 'timeout' END, (ts, event_id)) AS e, arg_max(event_id, (ts, event_id)) AS ev, CASE WHEN arg_max(event_id, (ts, event_id)) % 10 = 0 THEN 'timeout' END AS error FROM events GROUP BY event_type, user_id) GROUP BY channel")
+@query("d06_batch_ledger", SQL_D06)
 def d06b(spark, sf):
     from factrail.streaming import ledger as L
     from factrail.streaming import run

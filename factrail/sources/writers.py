@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -22,32 +23,42 @@ def write_facts_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
 
 
-def write_snapshot(df: DataFrame, root: str, version: int) -> str:
-    """One immutable folder per version: readers of the old version are never disturbed."""
-    path = f"{root}/v={version:06d}"
-    df.write.mode("errorifexists").parquet(path)
+def write_snapshot(df: DataFrame, root: str, version: int, mode: str = "errorifexists") -> str:
+    """One immutable folder per version: readers of the old version are never disturbed.
+
+    The version counts once its name is in the list below ``root``, which is written after the data, so a
+    half-written version is never read.
+    """
+    path = f"{root}/v={version:09d}"
+    df.write.mode(mode).parquet(path)
+    df.sparkSession.range(1).select(F.lit(version).cast("bigint").alias("version")).coalesce(1).write.mode(mode).parquet(f"{root}/complete/n={version:09d}")
     return path
 
 
+def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int | None:
+    """The newest complete version below ``root``, or the newest one older than ``before``."""
+    try:
+        versions = spark.read.schema("version bigint, n string").parquet(f"{root}/complete")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return versions.where(F.lit(True) if before is None else F.col("version") < before).agg(F.max("version")).first()[0]
+
+
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The newest version below ``root``; only its files are read."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    base = hadoop.Path(root)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().getName() for s in fs.listStatus(base) if s.getPath().getName().startswith("v="))
-    if not names:
+    """The newest complete version below ``root``; only its files are read."""
+    version = latest_version(spark, root)
+    if version is None:
         raise FileNotFoundError(f"no snapshot under {root}")
-    return spark.read.parquet(f"{root}/{names[-1]}")
+    return spark.read.parquet(f"{root}/v={version:09d}")
 
 
-def item_scores(facts: DataFrame, *, part_size: int = 5000) -> DataFrame:
-    """Per-item export: (model, item_id, condition, part, facts) with the facts as one sorted array.
+def item_scores(facts: DataFrame) -> DataFrame:
+    """Per-item export: (model, item_id, scores) with scores a map from condition to its sorted facts.
 
-    A set of more than ``part_size`` facts is cut into several rows by the hash of the fact, so no row
-    and no task grows with the largest item; ordinary sets are one row with part 0.
+    An item's facts come from a few texts, so a row is as large as those.
     """
-    key = ["model", "item_id", "condition"]
-    sizes = facts.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.ceil(F.col("_n") / part_size)
-    cut = facts.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("type", "value", "polarity"), parts))
-    return cut.groupBy(*key, "part").agg(F.array_sort(F.collect_set(F.struct("type", "value", "polarity"))).alias("facts"))
+    fact = F.struct("type", "value", "polarity")
+    sets = facts.groupBy("model", "item_id", "condition").agg(F.array_sort(F.collect_set(fact)).alias("facts"))
+    return sets.groupBy("model", "item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("condition", "facts")))).alias("scores"))

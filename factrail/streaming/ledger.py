@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factrail.operators.merging import last_per_key
+from factrail.sources.writers import latest_version, write_snapshot
 
 KEY = ["item_id", "channel"]
 
@@ -36,20 +37,19 @@ class LedgerSink:
     """foreachBatch sink: writes one immutable snapshot per batch, keyed by the batch id.
 
     A replayed batch rewrites its own folder from the same predecessor, so a restart gives the same
-    state; the previous snapshot is never touched.
+    state; the previous snapshot is never touched. The predecessor is the newest complete snapshot of
+    an earlier batch, whichever batches wrote one.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
 
-    def path(self, batch_id: int) -> str:
-        return f"{self.root}/batch={batch_id:09d}"
-
     def previous(self, batch_id: int) -> DataFrame | None:
-        return None if batch_id == 0 else self.spark.read.parquet(self.path(batch_id - 1))
+        version = latest_version(self.spark, self.root, before=batch_id)
+        return None if version is None else self.spark.read.parquet(f"{self.root}/v={version:09d}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        fold_batch(self.previous(batch_id), batch).write.mode("overwrite").parquet(self.path(batch_id))
+        write_snapshot(fold_batch(self.previous(batch_id), batch), self.root, batch_id, mode="overwrite")
 
 
 def ledger(state: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factrail.session import checkpoint_dir
+from factrail.sources.writers import latest_snapshot
 from factrail.streaming import ledger as L
 
 
@@ -29,5 +30,4 @@ def replay_ledger(spark: SparkSession, path: str) -> DataFrame:
         stream.writeStream.outputMode("append").foreachBatch(sink)
         .option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start())
     job.awaitTermination()
-    last = job.lastProgress["batchId"] if job.lastProgress else 0
-    return L.ledger(spark.read.parquet(sink.path(last)))
+    return L.ledger(latest_snapshot(spark, sink.root))

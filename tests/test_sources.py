@@ -62,13 +62,19 @@ def test_write_once_and_snapshots(spark, tmp_path):
     writers.write_snapshot(df, str(tmp_path / "t"), 1)
     writers.write_snapshot(spark.range(5), str(tmp_path / "t"), 2)
     assert writers.latest_snapshot(spark, str(tmp_path / "t")).count() == 5
+    spark.range(9).write.parquet(str(tmp_path / "t" / "v=000000003"))  # a writer that was lost before it had finished
+    assert writers.latest_snapshot(spark, str(tmp_path / "t")).count() == 5
+    assert writers.latest_version(spark, str(tmp_path / "t"), before=2) == 1
+    with pytest.raises(FileNotFoundError):
+        writers.latest_snapshot(spark, str(tmp_path / "none"))
 
 
-def test_item_scores_cut_large_sets(spark):
-    facts = spark.range(25).select(F.lit("m").alias("model"), F.lit("i").alias("item_id"), F.lit("SPEAK").alias("condition"),
+def test_item_scores_are_one_row_per_item(spark):
+    facts = spark.range(25).select(F.lit("m").alias("model"), F.lit("i").alias("item_id"), F.when(F.col("id") < 20, "SPEAK").otherwise("READ").alias("condition"),
                                    F.lit("number").alias("type"), F.col("id").cast("string").alias("value"), F.lit("+").alias("polarity"))
-    rows = writers.item_scores(facts, part_size=10).collect()
-    assert len(rows) > 1 and sum(len(r.facts) for r in rows) == 25
+    row, = writers.item_scores(facts.union(facts)).collect()
+    assert {k: len(v) for k, v in row.scores.items()} == {"SPEAK": 20, "READ": 5}
+    assert [f.value for f in row.scores["READ"]] == ["20", "21", "22", "23", "24"]
 
 
 def test_coverage_scoring(spark):
@@ -93,5 +99,6 @@ def test_ledger_batches(spark, tmp_path):
     second = spark.createDataFrame([(3, at(2), 7, "asr1", 2.0, None)], schema)
     sink(second, 1)
     sink(second, 1)  # a replay after a failure
-    rows = L.ledger(spark.read.parquet(sink.path(1))).collect()
+    sink(second.limit(0), 5)  # batches in between wrote nothing
+    rows = L.ledger(writers.latest_snapshot(spark, sink.root)).collect()
     assert [(r.channel, r.done, r.failed) for r in rows] == [("asr1", 2, 0)]
