@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factrail.dims import Pair, Side, planned
 from factrail.functions import answers as K
 from factrail.functions import similarity as E
 from factrail.functions import text as T
 from factrail.functions.stats import r6, ratio
 from factrail.operators import extraction as X
+from factrail.operators import pairing as P
 from factrail.operators import resampling as B
 from factrail.operators import tasks as TK
 from factrail.operators.pairing import _count
@@ -370,3 +372,35 @@ def k07(spark, sf):
 def k07b(spark, sf):
     rows = TK.answer_drops(drop_rows(spark, sf), ["dataset"], "asr1")
     return B.bootstrap_mean(rows, ["dataset"], "k", "one")
+
+
+# ---- from texts to metrics -----------------------------------------------------------------
+
+HEARD_VIEWS = ("internal", "asr1", "asr2", "asr3")
+
+
+def spoken_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(model, item_id, condition, view, text): the plan sentence and its transcripts as views of one recording."""
+    model = F.concat(F.lit("m"), (F.regexp_extract("item_id", "^([0-9]+)", 1).cast("bigint") % 5).cast("string"))
+    views = F.array(*[F.struct(F.lit(v).alias("view"), F.col("text" if v == "internal" else v).alias("text")) for v in HEARD_VIEWS])
+    rows = FX.transcripts(spark, sf).select(model.alias("model"), "item_id", F.lit("SPEAK").alias("condition"), F.explode(views).alias("v"))
+    return rows.select("model", "item_id", "condition", "v.view", "v.text").where(F.col("text").isNotNull())
+
+
+@query("r06_pipeline_headline", with_fx("fx_heard", extra={
+    "texts": " UNION ALL ".join(f"SELECT item_id || '#{v}' AS item_id, {'text' if v == 'internal' else v} AS text FROM fx_heard WHERE {'text' if v == 'internal' else v} IS NOT NULL" for v in HEARD_VIEWS),
+    **O.rules_ctes("texts"),
+    "ff": "SELECT DISTINCT split_part(item_id,'#',1) AS item, split_part(item_id,'#',2) AS view, type, value, polarity FROM r_all",
+    "seen": "SELECT split_part(item_id,'#',1) AS item, split_part(item_id,'#',2) AS view FROM texts",
+    "per": """SELECT 'm' || CAST(CAST(regexp_extract(u.item, '^([0-9]+)', 1) AS BIGINT) % 5 AS VARCHAR) AS model, s.view AS metric, u.type,
+ count(d.item) AS retained, count(*) AS total FROM ff u JOIN seen s ON s.item = u.item AND s.view <> 'internal'
+ LEFT JOIN ff d ON d.item = u.item AND d.view = s.view AND d.type = u.type AND d.value = u.value AND d.polarity = u.polarity
+ WHERE u.view = 'internal' GROUP BY ALL"""})
+ + "SELECT model, metric, type, CAST(retained AS BIGINT) AS retained, CAST(total AS BIGINT) AS total, 1.0 - CAST(retained AS DOUBLE)/total AS gap FROM per")
+def r06(spark, sf):
+    """Texts of every view -> rule facts -> presence masks -> gaps by recogniser and fact type."""
+    said = spoken_texts(spark, sf)
+    facts = X.facts_long(X.extract_facts(said, "text"), ["model", "item_id", "condition", "view"], distinct=False)
+    pairs = [Pair(v, Side.of("SPEAK", v), planned("SPEAK")) for v in HEARD_VIEWS[1:]]
+    counts = P.item_counts(P.presence(facts), pairs, P.observed_mask(said), by_type=True)
+    return P.pooled(counts, ["model", "type"]).where("total > 0").select("model", "metric", "type", "retained", "total", "gap")
