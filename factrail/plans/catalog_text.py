@@ -15,6 +15,7 @@ from factrail.operators import resampling as B
 from factrail.operators import tasks as TK
 from factrail.operators.pairing import _count
 from factrail.plans import fixtures as FX
+from factrail.plans import metrics as M
 from factrail.plans import oracle_text as O
 from factrail.plans.oracle_fixtures import with_fx
 from factrail.plans.registry import query
@@ -111,9 +112,10 @@ def t12(spark, sf):
 
 
 @query("t13_conversion_failures", with_fx("fx_text", extra=TEXTS) + f"""SELECT item_id, CAST(length(split_part(k,'.',1)) AS BIGINT) AS integer_digits, left(k, 40) AS token_prefix FROM (
- SELECT item_id, replace(unnest({O.matches("repeat(left(regexp_replace(text, '[^0-9]', '', 'g'), 3) || '1', 90)", O.L.DIGITS)}), ',', '') AS k FROM texts) WHERE length(regexp_replace(split_part(k,'.',1), '^0+([0-9])', '\\1')) > 306""")
+ SELECT item_id, replace(unnest({O.matches("repeat(d, CAST(ceil(310.0 / length(d)) AS BIGINT))", O.L.DIGITS)}), ',', '') AS k FROM (SELECT item_id, regexp_replace(text, '[^0-9]', '', 'g') || '1' AS d FROM texts)) WHERE length(regexp_replace(split_part(k,'.',1), '^0+([0-9])', '\\1')) > 306""")
 def t13(spark, sf):
-    long = texts(spark, sf).select("item_id", F.repeat(F.concat(F.left(F.regexp_replace("text", "[^0-9]", ""), F.lit(3)), F.lit("1")), 90).alias("t"))
+    digits = texts(spark, sf).select("item_id", F.concat(F.regexp_replace("text", "[^0-9]", ""), F.lit("1")).alias("d"))  # all digits of the whole text
+    long = digits.select("item_id", F.repeat("d", F.ceil(F.lit(310.0) / F.length("d")).cast("int")).alias("t"))
     return long.select("item_id", F.explode(T.conversion_failures("t")).alias("f")).select("item_id", "f.integer_digits", "f.token_prefix")
 
 
@@ -124,13 +126,10 @@ def t15(spark, sf):
     return s.select("item_id", "value", T.relative_position("text", "value").alias("position"))
 
 
-@query("p14_contains_gold", """SELECT doc_id, coalesce(list_bool_or(list_transform([b.text, left(b.text, 12)], lambda g: contains(lower(d.text), lower(g)))), false) AS found
- FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""")
+@query("p14_contains_gold", """SELECT d.doc_id, coalesce(bool_or(contains(lower(d.text), lower(b.text))), false) AS found, count(*) FILTER (WHERE contains(lower(d.text), lower(b.text))) AS n_golds
+ FROM documents d CROSS JOIN benchmark b GROUP BY d.doc_id""")
 def p14(spark, sf):
-    bench = FX.table(spark, sf, "benchmark").select(F.col("item_id").alias("b"), F.array("text", F.left("text", F.lit(12))).alias("gold"))
-    n = bench.agg(F.count(F.lit(1)).alias("n"))
-    docs = FX.table(spark, sf, "documents").withColumn("b", F.col("doc_id") % n.scalar())
-    return docs.join(bench, "b").select("doc_id", T.contains_any("text", "gold").alias("found"))
+    return M.texts_with_gold(FX.table(spark, sf, "documents"), FX.table(spark, sf, "benchmark"))
 
 
 @query("p15_hashes", with_fx("fx_text", extra=TEXTS) + "SELECT item_id, substr(sha256(coalesce(text, '')), 1, 16) AS text_hash FROM texts")

@@ -325,3 +325,25 @@ def gate(headline_rows: DataFrame, *, hard_min: float = 0.05, ratio_min: float =
     return w.withColumn(
         "verdict", F.when(F.col("hard").isNull() | F.col("content").isNull(), "undetermined")
         .when((F.col("hard") > hard_min) & enough, "GO").otherwise("STOP"))
+
+
+def texts_with_gold(texts: DataFrame, golds: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, found, n_golds): how many gold passages (item_id, text) each text (doc_id, text) holds, without regard to case.
+
+    Candidates share the passage's words 2 to width + 1, which stand as whole words wherever the passage stands; they
+    meet by an equi-join on the hash of those words, and each is checked by its whole text. Passages with fewer than
+    width + 2 words can't be found that way and are compared with every text.
+    """
+    words = lambda t: F.split(F.lower(t), r"\s+")
+    gold = golds.select(F.col("item_id").alias("gold_id"), F.lower("text").alias("gold"), words(F.col("text")).alias("w"))
+    long = gold.where(F.size("w") >= width + 2).select("gold_id", "gold", F.xxhash64(F.slice("w", 2, width)).alias("key"))
+    short = gold.where(F.size("w") < width + 2).select("gold_id", "gold")
+    text = texts.select("doc_id", F.lower("text").alias("body"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, width)))
+    keyed = text.withColumn("w", F.split("body", r"\s+")).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
+    pairs = keyed.join(long, "key").select("doc_id", "gold_id", "gold").distinct()
+    held = text.join(pairs, "doc_id").where(F.contains("body", F.col("gold"))).select("doc_id", "gold_id")
+    few = text.join(short, F.contains("body", F.col("gold"))).select("doc_id", "gold_id")
+    counts = held.unionByName(few).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_golds"))
+    n = F.coalesce("n_golds", F.lit(0))
+    return texts.select("doc_id").join(counts, "doc_id", "left").select("doc_id", (n > 0).alias("found"), n.cast("bigint").alias("n_golds"))
