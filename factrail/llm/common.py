@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factrail.session import checkpoint_dir, materialise, parallelism
 
-__all__ = ["ASCII_UPPER", "ASCII_LOWER", "checkpoint_dir", "components", "documents", "held_out", "lower_ascii", "materialise", "parallelism", "ship", "stored"]
+__all__ = ["ASCII_UPPER", "ASCII_LOWER", "checkpoint_dir", "components", "documents", "gathered", "held_out", "lower_ascii", "materialise", "parallelism", "ship", "stored"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -54,6 +54,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of the small tables of an iteration that one task takes.
+TASK_ROWS = 100_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """As few tasks as a known number of narrow rows needs: iterations over small tables then run few, full tasks."""
+    return df.coalesce(rows // TASK_ROWS + 1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Exact connected components of links (a, b): one row (node, comp) per linked node, comp the smallest node.
 
@@ -63,16 +72,18 @@ def components(edges: DataFrame) -> DataFrame:
     def signature(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = materialise(edges)
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    rows = edges.count()
+    edges = materialise(gathered(gathered(edges, rows).distinct(), rows))
     before = signature(edges)
+    few = lambda df: gathered(df, 2 * rows)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialise(small.where("u <> v").distinct())
+        low = few(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = few(few(both.where("v > u").join(low, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(large.join(low, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges = materialise(few(small.where("u <> v").distinct()))
         after = signature(edges)
         if after == before:
             break

@@ -25,15 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factrail.llm.blocks import HASH_BITS, batches_of, mix, row_sums, shingle_sets, text_blocks
-from factrail.llm.common import components, materialise, parallelism, stored
+from factrail.llm.common import components, gathered, materialise, parallelism, stored
 
 #: Sets up to this size are compared on all shingles, larger ones on this share of the hash space in the first filter.
 WHOLE = 64
 SAMPLE = 3 / 8
 #: Shingle entries that one task of the filters and of the list building holds (about 24 bytes each).
 ENTRIES = 1_500_000
+#: Bits of the signature that rules pairs out before their sets are fetched.
+BITS = 1024
+#: What an enumerated subset (a row that is shuffled) costs, in scanned list entries (comparisons).
+SUBSET_COST = 32
 #: Pairs tested at once, per entry of the lists.
-PAIRS_PER_ENTRY = 16
+PAIRS_PER_ENTRY = 64
 
 
 def _limit(n: np.ndarray) -> np.ndarray:
@@ -184,8 +188,9 @@ def _frequencies(parts: int):
 
 
 def _ordered():
-    """Each set's shared shingles, rarest first (ties by hash), with the summed list lengths up to each place."""
-    schema = pa.schema([("node", pa.int64()), ("held", pa.list_(pa.int64())), ("reach", pa.list_(pa.int64()))])
+    """Each set's shared shingles, rarest first (ties by hash), with the comparisons that scanning their lists up to each
+    place costs (a member meets no more than PAIRS_PER_ENTRY others at once), and a bit for each residue that they leave."""
+    schema = pa.schema([("node", pa.int64()), ("held", pa.list_(pa.int64())), ("reach", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
         nodes, values, held = _unpack(table, "nodes", "hashes", "counts")
@@ -193,10 +198,14 @@ def _ordered():
         nodes, values, held = nodes[order], values[order], held[order]
         cut = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1]))) if len(nodes) else np.zeros(0, np.int64)
         ends = np.append(cut, len(nodes)).astype(np.int32)
-        total = np.cumsum(held)
+        total = np.cumsum(np.minimum(held, PAIRS_PER_ENTRY))
         reach = total - np.repeat(np.concatenate(([0], total))[cut], np.diff(ends))
         lists = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int64()))
-        return pa.table([pa.array(nodes[cut], pa.int64()), lists(values), lists(reach)], schema=schema)
+        bits = np.zeros((len(cut), BITS // 8), np.uint8)
+        bit = values % BITS
+        np.bitwise_or.at(bits, (np.repeat(np.arange(len(cut)), np.diff(ends)), bit // 8), (1 << (bit % 8)).astype(np.uint8))
+        words = pa.ListArray.from_arrays(pa.array(np.arange(len(cut) + 1) * (BITS // 64), pa.int32()), pa.array(bits.reshape(-1).view(np.int64), pa.int64()))
+        return pa.table([pa.array(nodes[cut], pa.int64()), lists(values), lists(reach), words], schema=schema)
 
     return run
 
@@ -208,57 +217,89 @@ def _boundary(sets: DataFrame) -> int:
     best, cost = 0, sum(r.scans for r in rows)
     least, now = cost, cost
     for r in rows[:-1] if rows and rows[-1].n == 1024 else rows:
-        now += float(r.subsets) - r.scans
+        now += SUBSET_COST * float(r.subsets) - r.scans
         if now < least:
             best, least = r.n, now
     return best
 
 
+def _missing(a, b):
+    """Bits of a that b lacks: so many shingles of a's set, at least, are not in b's."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+
+
 def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) with an exact verdict."""
-    one = sets.select(F.col("node").alias("a"), F.col("held").alias("x"), F.col("n").alias("nx"))
-    two = sets.select(F.col("node").alias("b"), F.col("held").alias("y"), F.col("n").alias("ny"))
+    """Candidate pairs (a, b) with an exact verdict. Signatures rule out most of those that do not link; sets are fetched
+    for the others."""
+    need = percent * (F.col("nx") + F.col("ny")) / (100 + percent) - 1e-6
+    sized = lambda node, held, n: sets.select(F.col("node").alias(node), F.col("held").alias(held), F.col("n").alias(n))
+    brief = sets.select("node", "n", F.size("held").alias("size"), "bits")
+    one = brief.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("size").alias("sx"), F.col("bits").alias("x"))
+    two = brief.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("size").alias("sy"), F.col("bits").alias("y"))
+    able = (F.col("sx") - _missing(F.col("x"), F.col("y")) >= need) & (F.col("sy") - _missing(F.col("y"), F.col("x")) >= need)
+    pairs = materialise(pairs)
+    rows = pairs.count()
+    judged = materialise(gathered(gathered(pairs, rows).join(one, "a").join(two, "b").select("a", "b", able.alias("able")), rows))
     both = F.size(F.array_intersect("x", "y"))
-    fits = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
-    return pairs.join(one, "a").join(two, "b").select(
-        "a", "b", (fits & (both * 100 >= percent * (F.col("nx") + F.col("ny") - both))).alias("linked"))
+    exact = judged.where("able").join(sized("a", "x", "nx"), "a").join(sized("b", "y", "ny"), "b").select(
+        "a", "b", (both * 100 >= percent * (F.col("nx") + F.col("ny") - both)).alias("linked"))
+    return materialise(judged.where("not able").select("a", "b", F.lit(False).alias("linked")).unionByName(gathered(exact, rows)))
+
+
+def _possible(percent: int):
+    """Whether two members of a list can link: by their sizes, and by how many shared shingles lie before and after the key."""
+    need = percent * (F.col("n") + F.col("n_")) / (100 + percent)
+    most = F.least("at", "at_") + F.least(F.col("held") - F.col("at"), F.col("held_") - F.col("at_"))
+    return (F.col("n") * 100 >= F.col("n_") * percent) & (F.col("n_") * 100 >= F.col("n") * percent) & (most >= need - 1e-6)
 
 
 def _linked_components(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(node, comp) of linked nodes, from the lists (key columns k1, k2; node, loose)."""
-    keys = ["k1", "k2"]
+    """(node, comp) of linked nodes, from the lists (key; node, n, held, at)."""
+    member = ["node", "n", "held", "at"]
+    other = [F.col("node").alias("other"), F.col("n").alias("n_"), F.col("held").alias("held_"), F.col("at").alias("at_"), F.col("comp").alias("there")]
+    members = [F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")]
+    fits = _possible(percent)
     label, edges, done = None, None, None
-    turn = 0
+    turn, rows = 0, entries.count()
     while True:
         now = entries.withColumn("comp", F.col("node")) if label is None else (
             entries.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-        per = now.groupBy(*keys, "comp").agg(F.count("*").alias("c"), F.min(F.struct("loose", "node")).alias("lead"))
-        lists = per.groupBy(*keys).agg(
-            F.count("*").alias("kinds"), F.sum("c").alias("m"), F.sum(F.col("c").cast("double") * F.col("c")).alias("own"), F.min("lead").alias("lead"))
-        lists = lists.where("kinds > 1").withColumn("cross", (F.col("m").cast("double") * F.col("m") - F.col("own")) / 2)
-        live = now.join(lists.select(*keys, "m", "cross", F.col("lead.node").alias("lead")), keys)
-        live = materialise(live)
-        if live.isEmpty():
+        # the most central member, with the fewest shingles of its own, leads
+        loose = (F.col("n") - F.col("held")) / F.col("n")
+        if label is None:
+            lists = now.groupBy("key").agg(F.count("*").alias("m"), F.min_by("node", loose).alias("lead"), *members).where("m > 1").withColumn("cross", F.lit(0.0))
+        else:
+            per = now.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min_by("node", loose).alias("lead"), F.min(loose).alias("loose"), *members)
+            lists = per.groupBy("key").agg(
+                F.count("*").alias("kinds"), F.sum("c").alias("m"), F.sum(F.col("c").cast("double") * F.col("c")).alias("own"), F.min_by("lead", "loose").alias("lead"),
+                F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
+            lists = lists.where("kinds > 1").withColumn("cross", (F.col("m").cast("double") * F.col("m") - F.col("own")) / 2)
+        # shingles of one passage have lists with the same members: one of them is enough
+        lists = lists.groupBy("m", "x1", "x2").agg(F.min("key").alias("key"), F.first("cross").alias("cross"), F.min("lead").alias("lead"))
+        live = now.join(lists.select("key", "m", "cross", "lead"), "key")
+        live = materialise(gathered(live, rows))
+        rows = live.count()
+        if not rows:
             break
         light = (F.col("cross") <= PAIRS_PER_ENTRY * F.col("m")) & F.lit(turn > 0)
         few, many = live.where(light), live.where(~light)
         ordered = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-        crossing = few.join(few.select(*keys, F.col("node").alias("other"), F.col("comp").alias("there")), keys).where("comp < there").select(*ordered)
-        # the most central member leads; from the second turn on ever more members lead a long list
+        crossing = few.join(few.select("key", *other), "key").where((F.col("comp") < F.col("there")) & fits).select(*ordered)
+        # from the second turn on ever more members lead a long list
         leads = many.where((F.col("node") == F.col("lead")) | (F.lit(turn > 0) & (
-            F.pmod(F.xxhash64("node", F.lit(turn)), F.col("m")) < F.lit(2 ** turn))))
-        against = many.join(leads.select(*keys, F.col("node").alias("other"), F.col("comp").alias("there")), keys).where("comp <> there").select(*ordered)
-        pairs = crossing.unionByName(against).distinct()
+            F.pmod(F.xxhash64("node", F.lit(turn)), F.col("m")) < F.lit(16 ** turn))))
+        against = many.join(leads.select("key", *other), "key").where((F.col("comp") != F.col("there")) & fits).select(*ordered)
+        pairs = gathered(gathered(crossing, rows).unionByName(gathered(against, rows)).distinct(), rows)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        tested = materialise(_tested(pairs, sets, percent))
+        tested = _tested(pairs, sets, percent)
         done = tested.select("a", "b") if done is None else done.unionByName(tested.select("a", "b"))
         new = tested.where("linked").select("a", "b")
         edges = new if edges is None else edges.unionByName(new)
-        label = materialise(components(edges))
+        label = components(edges)
         edges = label.select(F.col("node").alias("a"), F.col("comp").alias("b"))
         # a member that led has met its whole list; short lists are finished
-        entries = materialise(many.join(leads.select(*keys, "node"), [*keys, "node"], "left_anti").select(*keys, "node", "loose"))
+        entries = materialise(gathered(many.join(leads.select("key", "node"), ["key", "node"], "left_anti").select("key", *member), rows))
         turn += 1
     return label
 
@@ -288,23 +329,24 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     rows = docs.join(alive.select(F.col("first").alias("doc_id"), "node"), "doc_id").select("node", "text")
     held = (rows.mapInArrow(_whole_entries(parts, width), _ENTRIES_DDL)
             .groupBy("part").applyInArrow(_frequencies(parts), "part int, nodes binary, hashes binary, counts binary")
-            .groupBy("part").applyInArrow(_ordered(), "node bigint, held array<bigint>, reach array<bigint>"))
+            .groupBy("part").applyInArrow(_ordered(), "node bigint, held array<bigint>, reach array<bigint>, bits array<bigint>"))
     sets = held.join(alive.select("node", "n", "first"), "node")
     lone = F.col("n") - F.size("held")
     sets = (sets.withColumn("need", F.ceil(F.col("n") * percent / 100)).where(F.size("held") >= F.col("need"))
             .withColumn("p1", F.greatest(F.col("n") - F.col("need") + 1 - lone, F.lit(0)).cast("int"))
             .withColumn("p2", F.least(F.greatest(F.col("n") - F.col("need") + 2 - lone, F.lit(0)), F.size("held")).cast("int"))
             .withColumn("scan", F.when(F.col("p1") > 0, F.element_at("reach", F.greatest("p1", F.lit(1)))).otherwise(F.lit(0)))
-            .select("node", "first", "n", "held", "p1", "p2", "scan", (lone / F.col("n")).alias("loose")))
+            .select("node", "first", "n", "held", "bits", "p1", "p2", "scan"))
     sets = stored(sets)
     cut = _boundary(sets)
-    lists = sets.where(F.col("n") * 100 > F.lit(cut * percent)).select(
-        F.explode(F.slice("held", F.lit(1), F.col("p1"))).alias("k1"), F.lit(0).cast("bigint").alias("k2"), "node", "loose")
-    heads = sets.where((F.col("n") <= cut) & (F.col("p2") > 1)).select(
-        "node", "loose", "p2", F.slice("held", F.lit(1), F.col("p2")).alias("head"))
-    subsets = (heads.select("node", "loose", "head", "p2", F.posexplode("head").alias("at", "k1")).where("at + 1 < p2")
-               .select("k1", F.explode(F.slice("head", F.col("at") + 2, F.col("p2"))).alias("k2"), "node", "loose"))
-    entries = lists.unionByName(subsets.select("k1", "k2", "node", "loose"))
+    sized = sets.select("node", F.col("n").cast("int").alias("n"), F.size("held").alias("held"), F.col("held").alias("shared"), "p1", "p2")
+    lists = sized.where(F.col("n") * 100 > F.lit(cut * percent)).select(
+        F.posexplode(F.slice("shared", F.lit(1), F.col("p1"))).alias("at", "key"), "node", "n", "held")
+    heads = sized.where((F.col("n") <= cut) & (F.col("p2") > 1)).withColumn("head", F.slice("shared", F.lit(1), F.col("p2")))
+    firsts = heads.select("node", "n", "held", "head", "p2", F.posexplode("head").alias("at", "one")).where("at + 1 < p2")
+    subsets = firsts.select(F.explode(F.slice("head", F.col("at") + 2, F.col("p2"))).alias("two"), "one", "at", "node", "n", "held")
+    subsets = subsets.select("at", F.xxhash64("one", "two").alias("key"), "node", "n", "held")
+    entries = lists.unionByName(subsets).select("key", "node", "n", "held", (F.col("at") + 1).alias("at"))
     label = _linked_components(entries, sets, percent)
 
     result = described.join(nodes.select("node", "first"), "node", "left") if label is None else (
@@ -318,3 +360,9 @@ def _names(nodes: DataFrame, label: DataFrame) -> DataFrame:
     marked = nodes.select("node", "first").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     low = marked.groupBy("comp").agg(F.min("first").alias("first"))
     return marked.select("node", "comp").join(low, "comp").select("node", "first")
+
+
+def representatives(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
+    """One row of each class, that with the smallest doc_id, and every row that links with nothing; all columns."""
+    others = jaccard_classes(docs, percent, width).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
