@@ -35,7 +35,7 @@ ENTRIES = 1_500_000
 #: Bits of the signature that rules pairs out before their sets are fetched.
 BITS = 1024
 #: What an enumerated subset (a row that is shuffled) costs, in scanned list entries (comparisons).
-SUBSET_COST = 32
+SUBSET_COST = 16
 #: Pairs tested at once, per entry of the lists.
 PAIRS_PER_ENTRY = 64
 
@@ -229,34 +229,38 @@ def _missing(a, b):
 
 
 def _tested(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) with an exact verdict. Signatures rule out most of those that do not link; sets are fetched
-    for the others."""
+    """Candidate pairs (a, b) with an exact verdict, and bounds of their Jaccard distance. Signatures rule out most of those
+    that do not link; sets are fetched for the others."""
     need = percent * (F.col("nx") + F.col("ny")) / (100 + percent) - 1e-6
     sized = lambda node, held, n: sets.select(F.col("node").alias(node), F.col("held").alias(held), F.col("n").alias(n))
     brief = sets.select("node", "n", F.size("held").alias("size"), "bits")
     one = brief.select(F.col("node").alias("a"), F.col("n").alias("nx"), F.col("size").alias("sx"), F.col("bits").alias("x"))
     two = brief.select(F.col("node").alias("b"), F.col("n").alias("ny"), F.col("size").alias("sy"), F.col("bits").alias("y"))
-    able = (F.col("sx") - _missing(F.col("x"), F.col("y")) >= need) & (F.col("sy") - _missing(F.col("y"), F.col("x")) >= need)
+    most = F.least(F.col("sx") - _missing(F.col("x"), F.col("y")), F.col("sy") - _missing(F.col("y"), F.col("x")))
+    apart = lambda shared: 1 - shared / (F.col("nx") + F.col("ny") - shared)
     pairs = materialise(pairs)
     rows = pairs.count()
-    judged = materialise(gathered(gathered(pairs, rows).join(one, "a").join(two, "b").select("a", "b", able.alias("able")), rows))
+    judged = materialise(gathered(gathered(pairs, rows).join(one, "a").join(two, "b").select("a", "b", (most >= need).alias("able"), apart(most).alias("near")), rows))
     both = F.size(F.array_intersect("x", "y"))
     exact = judged.where("able").join(sized("a", "x", "nx"), "a").join(sized("b", "y", "ny"), "b").select(
-        "a", "b", (both * 100 >= percent * (F.col("nx") + F.col("ny") - both)).alias("linked"))
-    return materialise(judged.where("not able").select("a", "b", F.lit(False).alias("linked")).unionByName(gathered(exact, rows)))
+        "a", "b", (both * 100 >= percent * (F.col("nx") + F.col("ny") - both)).alias("linked"), apart(both).alias("near"), apart(both).alias("far"))
+    return materialise(judged.where("not able").select("a", "b", F.lit(False).alias("linked"), "near", F.lit(1.0).alias("far")).unionByName(gathered(exact, rows)))
 
 
 def _possible(percent: int):
-    """Whether two members of a list can link: by their sizes, and by how many shared shingles lie before and after the key."""
+    """Whether two members of a list can link: by their sizes, by how many shared shingles lie before and after the key, and by
+    their distances to the member that led the list first (Jaccard distance is a metric)."""
     need = percent * (F.col("n") + F.col("n_")) / (100 + percent)
     most = F.least("at", "at_") + F.least(F.col("held") - F.col("at"), F.col("held_") - F.col("at_"))
-    return (F.col("n") * 100 >= F.col("n_") * percent) & (F.col("n_") * 100 >= F.col("n") * percent) & (most >= need - 1e-6)
+    return (F.col("n") * 100 >= F.col("n_") * percent) & (F.col("n_") * 100 >= F.col("n") * percent) & (most >= need - 1e-6) & (
+        F.greatest(F.col("near") - F.col("far_"), F.col("near_") - F.col("far")) <= 1 - percent / 100 + 1e-9)
 
 
 def _linked_components(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, comp) of linked nodes, from the lists (key; node, n, held, at)."""
-    member = ["node", "n", "held", "at"]
-    other = [F.col("node").alias("other"), F.col("n").alias("n_"), F.col("held").alias("held_"), F.col("at").alias("at_"), F.col("comp").alias("there")]
+    member = ["node", "n", "held", "at", "near", "far"]
+    entries = entries.withColumns({"near": F.lit(0.0), "far": F.lit(1.0)})
+    other = [F.col("node").alias("other"), F.col("n").alias("n_"), F.col("held").alias("held_"), F.col("at").alias("at_"), F.col("near").alias("near_"), F.col("far").alias("far_"), F.col("comp").alias("there")]
     members = [F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")]
     fits = _possible(percent)
     label, edges, done = None, None, None
@@ -299,7 +303,13 @@ def _linked_components(entries: DataFrame, sets: DataFrame, percent: int) -> Dat
         label = components(edges)
         edges = label.select(F.col("node").alias("a"), F.col("comp").alias("b"))
         # a member that led has met its whole list; short lists are finished
-        entries = materialise(gathered(many.join(leads.select("key", "node"), ["key", "node"], "left_anti").select("key", *member), rows))
+        left = many.join(leads.select("key", "node"), ["key", "node"], "left_anti")
+        if turn == 0:
+            # every list had one lead; who was not tested against it could not link with it
+            met = tested.select("a", "b", F.col("near").alias("near_"), F.col("far").alias("far_"))
+            left = left.withColumns({"a": F.least("node", "lead"), "b": F.greatest("node", "lead")}).join(met, ["a", "b"], "left").withColumns(
+                {"near": F.coalesce("near_", F.lit(1 - percent / 100)), "far": F.coalesce("far_", F.lit(1.0))})
+        entries = materialise(gathered(left.select("key", *member), rows))
         turn += 1
     return label
 
