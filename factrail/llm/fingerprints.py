@@ -23,7 +23,7 @@ from factrail.llm.common import materialise, parallelism
 K = 3
 COMPONENTS = 32
 #: Ranges of ids per task; ranges bound the rows whose neighbours are looked up together.
-RANGES_PER_TASK = 2
+RANGES_PER_TASK = 4
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -86,17 +86,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.when(~F.col("ghost_"), F.concat(F.left("text", n - third), F.left("next_", third)))
-    versions = rows.withColumn("edited_", edited).select(
-        "bucket_", "n_", F.explode(F.array(F.struct(F.lit(0).alias("version_"), F.col("text").alias("text"), F.col("doc_id").alias("doc_id"), F.col("ghost_").alias("ghost_")),
-                                         F.struct(F.lit(1).alias("version_"), F.col("edited_").alias("text"), F.col("doc_id").alias("doc_id"), F.col("ghost_").alias("ghost_")))).alias("s_")).select("bucket_", "n_", "s_.*")
-    versions = versions.where("text is not null")
-    keys = ["bucket_", "n_", "version_", "doc_id", "ghost_", "n_chars", "sha_"]
-    described = versions.withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("sha_", F.when(F.col("version_") == 1, F.sha2("text", 256)))
-    found = signatures(described, keys, "text")
-    own = F.col("version_") == 0
+    rows = rows.withColumn("edited_", edited)
+    # only two numbers go with every k-mer; what a row returns is joined to its fingerprint
+    texts = rows.select("bucket_", F.explode(F.array(F.struct((2 * F.col("n_")).cast("bigint").alias("key_"), F.col("text").alias("text")),
+                                                     F.struct((2 * F.col("n_") + 1).cast("bigint").alias("key_"), F.col("edited_").alias("text")))).alias("s_")).select("bucket_", "s_.*")
+    found = signatures(texts.where("text is not null"), ["bucket_", "key_"], "text").withColumn("n_", F.floor(F.col("key_") / 2).cast("int"))
+    own = F.col("key_") % 2 == 0
     both = found.groupBy("bucket_", "n_").agg(
-        F.first("doc_id").alias("doc_id"), F.first("ghost_").alias("ghost_"), F.max(F.when(own, F.col("n_chars"))).alias("n_chars"), F.max("sha_").alias("edited_sha256"),
         F.first(F.when(own, F.col("components")), True).alias("f"), F.first(F.when(~own, F.col("components")), True).alias("e"))
-    with_next = both.withColumn("g", F.lead("f").over(order)).where("not ghost_")
-    return with_next.select("doc_id", "n_chars", "edited_sha256", written(F.col("f")).alias("fingerprint"), written(F.col("e")).alias("edited_fingerprint"),
-                            likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("g")).alias("near_next"))
+    both = both.withColumn("g", F.lead("f").over(order))
+    facts = rows.where("not ghost_").select("bucket_", "n_", "doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2("edited_", 256).alias("edited_sha256"))
+    return facts.join(both, ["bucket_", "n_"]).select(
+        "doc_id", "n_chars", "edited_sha256", written(F.col("f")).alias("fingerprint"), written(F.col("e")).alias("edited_fingerprint"),
+        likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("g")).alias("near_next"))
