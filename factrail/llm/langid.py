@@ -31,7 +31,7 @@ from factrail.llm.blocks import LETTERS, batches_of, hash_spans, lowered, mix, s
 from factrail.llm.common import held_out
 
 #: Bound of the training sample, over all languages together.
-TRAIN_ROWS = 1200
+TRAIN_ROWS = 500
 BUCKETS = 1 << 16
 LEXICON = 400
 SEGMENT = 48
