@@ -196,7 +196,7 @@ NEAREST = """SELECT {g}, max(x) FILTER (i = lo) AS ci_lo, max(x) FILTER (i = hi)
  SELECT *, CAST(floor(n*0.025) AS BIGINT) AS lo, CAST(floor(n*0.975) AS BIGINT)-1 AS hi FROM (
  SELECT {g}, x, row_number() OVER (PARTITION BY {g} ORDER BY x)-1 AS i, count(*) OVER (PARTITION BY {g}) AS n FROM draws WHERE x IS NOT NULL)) GROUP BY {g}"""
 GAPDIFF = "(1.0-CAST(sum(ra) AS DOUBLE)/nullif(CAST(sum(ta) AS DOUBLE),0)) - (1.0-CAST(sum(rb) AS DOUBLE)/nullif(CAST(sum(tb) AS DOUBLE),0))"
-B1 = 40
+B1 = 10_000
 
 
 def _hard_vs_content(spark, sf):
@@ -305,7 +305,7 @@ def b04(spark, sf):
 
 @query("b04_permutation_counts")
 def b04c(spark, sf):
-    return B.permutation_test(positions(spark, sf), ["model"], "never", "pos", replicates=2000)
+    return B.permutation_test(positions(spark, sf), ["model"], "never", "pos")
 
 
 @query("b05_seed_manifest", with_fx("fx_items") + """SELECT item_id, model, cand_idx, seed FROM fx_items

@@ -207,3 +207,27 @@ def test_seed_manifest(spark):
         ("a", 3, 5), ("a", 4, 6), ("b", 3, 5), ("b", 4, 6)}
     with pytest.raises(ValueError, match="need 4 seeds"):
         B.seed_manifest(items, "1,2", 4)
+
+
+@pytest.mark.parametrize("name", ["b01_bootstrap_exact", "b02_bootstrap_mean", "b03_bootstrap_linear", "b04_permutation_exact", "b04_permutation_counts"])
+def test_registered_draws(spark, monkeypatch, name):
+    import inspect
+
+    from factrail.plans import catalog, registry  # noqa: F401
+
+    class Asked(Exception):
+        pass
+
+    def spy(f):
+        def asked(*a, **b):
+            bound = inspect.signature(f).bind(*a, **b)
+            bound.apply_defaults()
+            raise Asked(bound.arguments["replicates"])
+
+        return asked
+
+    for f in (B.bootstrap_gap_difference, B.bootstrap_mean, B.permutation_test, B.permutation_test_ordered):
+        monkeypatch.setattr(B, f.__name__, spy(f))
+    with pytest.raises(Asked) as asked:
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked.value.args == (10_000,)
