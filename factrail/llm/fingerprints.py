@@ -4,12 +4,17 @@ The k-mers of a text are its runs of K words, numbered by occurrence, so a repea
 there. Hashes of numbered k-mers fall into COMPONENTS x 2 bins; the least hash of each bin is a random selected k-mer.
 A component takes the two k-mers of its two bins in their text order and hashes that tuple: it agrees between two texts
 only if both keep the same k-mers in the same order, which follows edit distance and not only the overlap of sets. One
-hash per k-mer serves all components (one-permutation hashing), instead of one pass per component.
+hash per k-mer serves all components (one-permutation hashing), instead of one pass per component. A component of which a
+bin stays empty takes the two least of the text's selected k-mers by a hash of its own, so every component is a full tuple
+when the text has two k-mers.
+
+A text of fewer than FEW words, or of more than LONG characters a word (one word, or a script without spaces), takes runs
+of K characters in place of words. Texts on different sides of these bounds share no k-mers.
 
 The likeness of two fingerprints is the share of equal components among those that at least one of them fills; two without
 any are alike (1.0).
 
-Cases: null text counts as empty; a text with fewer than K words has its whole sequence as the only k-mer; equal texts have
+Cases: null text counts as empty; a text with fewer than K characters has its whole sequence as the only k-mer; equal texts have
 equal fingerprints; rows that repeat an id are ordered by text; a null id comes last in descending order.
 """
 
@@ -22,15 +27,19 @@ from factrail.llm.common import materialise, parallelism
 
 K = 3
 COMPONENTS = 32
+FEW = 16
+LONG = 24
 #: Ranges of ids per task; ranges bound the rows whose neighbours are looked up together.
 RANGES_PER_TASK = 4
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, components (array<bigint>, null where a component has no k-mer). Rows must be unique by keys, and stay where
+    """keys, components (array<bigint>). Rows must be unique by keys, and stay where
     they are if they are already dealt out by one of them."""
-    words = texts.select(*keys, F.split(text, SPACE).alias("w_"))
+    words = F.split(text, SPACE)
+    by_character = (F.length(text) > 0) & ((F.size("w_") < FEW) | (F.length(text) > LONG * F.size("w_")))
+    words = texts.select(*keys, text, words.alias("w_")).select(*keys, F.when(by_character, F.split(text, "")).otherwise(F.col("w_")).alias("w_"))
     zipped = F.arrays_zip(*[F.slice("w_", i + 1, F.size("w_")).alias(f"w{i}") for i in range(K)])
     kmers = words.select(*keys, F.posexplode(zipped).alias("pos_", "z_"))
     kmers = kmers.where(F.col(f"z_.w{K - 1}").isNotNull() | (F.col("pos_") == 0)).select(*keys, "pos_", F.xxhash64(*[F.col(f"z_.w{i}") for i in range(K)]).alias("kmer_"))
@@ -41,9 +50,32 @@ def signatures(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     first, second = F.when(F.col("bin_") % 2 == 0, F.col("h_")), F.when(F.col("bin_") % 2 == 1, F.col("h_"))
     pairs = hashed.groupBy(*keys, F.floor(F.col("bin_") / 2).cast("int").alias("c_")).agg(
         F.min(first).alias("a_"), F.min_by("pos_", first).alias("pa_"), F.min(second).alias("b_"), F.min_by("pos_", second).alias("pb_"))
-    value = F.when(F.col("b_").isNull() | (F.col("pa_") < F.col("pb_")), F.xxhash64("a_", "b_")).otherwise(F.xxhash64("b_", "a_"))
-    found = pairs.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("c_", value.alias("v_")))).alias("m_"))
-    return found.select(*keys, F.array(*[F.element_at("m_", F.lit(i)) for i in range(COMPONENTS)]).alias("components"))
+    found = pairs.groupBy(*keys).agg(F.collect_list(F.struct("c_", "a_", "pa_", "b_", "pb_")).alias("p_"))
+    return found.select(*keys, _components(F.col("p_")).alias("components"))
+
+
+def _tuple(a, pa, b, pb):
+    """Hash of one or two k-mers in text order."""
+    return F.when(b.isNull() | (pa < pb), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
+
+
+def _components(pairs):
+    """The value of every component from the least k-mers of its bins; where a bin is empty, from the two that are least by
+    the component's own hash among the k-mers of all bins."""
+    full = F.map_from_entries(F.transform(
+        F.filter(pairs, lambda p: p["a_"].isNotNull() & p["b_"].isNotNull()),
+        lambda p: F.struct(p["c_"], _tuple(p["a_"], p["pa_"], p["b_"], p["pb_"]))))
+    kept = F.filter(F.flatten(F.transform(pairs, lambda p: F.array(
+        F.struct(p["a_"].alias("h"), p["pa_"].alias("at")), F.struct(p["b_"].alias("h"), p["pb_"].alias("at"))))), lambda x: x["h"].isNotNull())
+
+    def refilled(kept, c):
+        least = F.slice(F.array_sort(F.transform(kept, lambda x: F.struct(F.xxhash64(c, x["h"]).alias("o"), x["h"].alias("h"), x["at"].alias("at")))), 1, 2)
+        pick = F.transform(F.array(least), lambda two: _tuple(F.get(two, F.lit(0))["h"], F.get(two, F.lit(0))["at"], F.get(two, F.lit(1))["h"], F.get(two, F.lit(1))["at"]))
+        return F.get(pick, F.lit(0))
+
+    # bound to a variable, both are made once per text and not once per component
+    return F.flatten(F.transform(F.array(F.struct(full.alias("full"), kept.alias("kept"))), lambda s: F.transform(
+        F.array(*[F.lit(i) for i in range(COMPONENTS)]), lambda c: F.coalesce(F.element_at(s["full"], c), refilled(s["kept"], c)))))
 
 
 def likeness(a, b):

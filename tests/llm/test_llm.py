@@ -420,6 +420,22 @@ def test_fingerprints_feel_order_and_repeats(spark):
     # the sets of k-mers of `a` and `moved` are nearly equal: the loss is the order
 
 
+def test_fingerprints_of_short_and_unspaced_texts(spark):
+    texts, kinds = {}, ("5", "16", "20", "60", "flat")
+    for k in kinds:
+        for i in range(20):
+            w = [chr(0x4E00 + random.Random(i).randrange(300) + 37 * j) for j in range(80)] if k == "flat" else prose(int(k), 100 + i).split()
+            h, by = len(w) // 2, "" if k == "flat" else " "
+            forms = {"own": w, "moved": w[h:] + w[:h], "edited": [*w[:h], "zq" + w[h], *w[h + 1 :]], "other": prose(len(w), 900 + i).split()}
+            texts |= {f"{k} {i} {form}": by.join(v) for form, v in forms.items()}
+    df = spark.createDataFrame(list(texts.items()), "name string, text string")
+    found = {r.name: r.components for r in fingerprints.signatures(df, ["name"], "text").collect()}
+    assert all(v is not None for c in found.values() for v in c)
+    near = lambda k, form: np.mean([np.mean([p == q for p, q in zip(found[f"{k} {i} own"], found[f"{k} {i} {form}"])]) for i in range(20)])
+    for k in kinds:  # a moved block keeps nearly all k-mers: what is lost beyond the edit is the order
+        assert near(k, "edited") > 0.3 and 0.05 < near(k, "moved") < min(0.6, near(k, "edited")) and near(k, "other") < 0.05, k
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
