@@ -67,13 +67,23 @@ def _valid(kind, m):
 
 
 def _matches(text, kind: str, pattern: str, needs):
-    """Matches with the length of the text before each (since the one before it) and what stands next to them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """Matches with the length of the text before each (since the one before it) and the text's CONTEXT_CHARS on both sides,
+    whatever stands there. A match has two characters at least, so CONTEXT_CHARS // 2 neighbours cover them."""
     gaps = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("m"), gaps.alias("g"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("after"))
-    whole = F.transform(F.slice(zipped, F.lit(1), F.size(found)), lambda x: F.struct(
-        F.lit(kind).alias("kind"), x["m"].alias("found"), F.length(x["g"]).alias("gap"),
-        F.right(x["g"], F.lit(CONTEXT_CHARS)).alias("left"), F.left(x["after"], F.lit(CONTEXT_CHARS)).alias("right")))
+    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), gaps.alias("g"))
+    near, most = F.lit(CONTEXT_CHARS), CONTEXT_CHARS // 2
+    # bound to a variable, the pieces are made once per text and not once per match
+    pieces = F.transform(F.array(zipped), lambda z: F.struct(
+        z.alias("z"), F.transform(z, lambda x: F.right(F.concat(x["g"], F.coalesce(x["m"], F.lit(""))), near)).alias("tails"),
+        F.transform(z, lambda x: F.left(F.concat(x["g"], F.coalesce(x["m"], F.lit(""))), near)).alias("heads")))
+
+    def match(s, x, i):
+        first = F.greatest(i - most, F.lit(0))
+        left = F.concat(F.array_join(F.slice(s["tails"], first + 1, i - first), ""), F.right(x["g"], near))
+        right = F.array_join(F.slice(s["heads"], i + 2, F.lit(most + 1)), "")
+        return F.struct(F.lit(kind).alias("kind"), x["m"].alias("found"), F.length(x["g"]).alias("gap"), F.right(left, near).alias("left"), F.left(right, near).alias("right"))
+
+    whole = F.flatten(F.transform(pieces, lambda s: F.transform(F.slice(s["z"], F.lit(1), F.size(s["z"]) - 1), lambda x, i: match(s, x, i))))
     empty = F.expr("cast(array() as array<struct<kind:string,found:string,gap:int,left:string,right:string>>)")
     return F.when(needs, whole).otherwise(empty)
 

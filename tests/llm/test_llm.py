@@ -470,6 +470,22 @@ def test_pii(spark, docs, empty):
     assert ("iban", "DE89 3704 0044 0532 0130 00") in spans and ("ssn", "123-45-6789") in spans and ("local_phone", "555-123-4567") in spans
 
 
+def test_pii_lists_after_one_label(spark):
+    far = " and" * 12
+    texts = ["SSN: 123-45-6789, 987-65-4321", "Phone: 555-123-4567 / 555-987-6543 / 555-222-3333", "123-45-6789, 987-65-4321 (SSN)", f"SSN{far} 123-45-6789, 987-65-4321",
+             "call 555-123-4567" + far + " 555-987-6543", "no label 123-45-6789, 987-65-4321"]
+    rows = list(enumerate(texts))
+    got = collections.defaultdict(list)
+    for x in pii.personal_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).where("not base").collect():
+        got[x.doc_id].append((x.kind, x.start, x.end))
+    near = {"ssn": "ssn|social|security", "local_phone": "tel|phone|call|mobile|fax|fon|movil"}
+    for i, t in rows:
+        want = [(k, m.start(), m.end()) for k, p in (("ssn", r"\d{3}-\d{2}-\d{4}"), ("local_phone", r"\d{3}-\d{3}-\d{4}")) for m in re.finditer(p, t)
+                if re.search(f"(?<![a-z])(?:{near[k]})", (t[max(m.start() - 48, 0) : m.start()] + " " + t[m.end() : m.end() + 48]).lower())]
+        assert sorted(got[i]) == sorted(want), t
+    assert [len(got[i]) for i in range(6)] == [2, 3, 2, 0, 1, 0]
+
+
 def test_url_filter(spark):
     import datetime as dt
 
