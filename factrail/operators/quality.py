@@ -202,14 +202,14 @@ def shard(df: DataFrame, key: str, num_shards: int, shard_index: int) -> DataFra
 
     if num_shards < 1 or not 0 <= shard_index < num_shards:
         raise ValueError("shard_index must lie in [0, num_shards)")
-    one = df.withColumn("_g", F.lit(0)).withColumn("_one", F.lit(1).cast("bigint"))
-    return running_totals(one, ["_g"], key, "_one").where(F.col("before") % num_shards == shard_index).drop("_g", "_one", "before")
+    one = df.withColumn("_one", F.lit(1).cast("bigint"))
+    return running_totals(one, [], key, "_one").where(F.col("before") % num_shards == shard_index).drop("_one", "before")
 
 
 def position_slice(df: DataFrame, key: str, offset: int, limit: int) -> DataFrame:
     """Rows at positions [offset, offset + limit) in key order; keys are unique."""
     from factrail.operators.ranking import running_totals
 
-    one = df.withColumn("_g", F.lit(0)).withColumn("_one", F.lit(1).cast("bigint"))
-    return running_totals(one, ["_g"], key, "_one").where(
-        (F.col("before") >= offset) & (F.col("before") < offset + limit)).drop("_g", "_one", "before")
+    one = df.withColumn("_one", F.lit(1).cast("bigint"))
+    return running_totals(one, [], key, "_one").where(
+        (F.col("before") >= offset) & (F.col("before") < offset + limit)).drop("_one", "before")

@@ -1,54 +1,42 @@
 """Ranks and running totals over long groups without a single-task window.
 
 A group (a model, a run) can hold most of the rows, so a plain ``Window.partitionBy(group)`` would
-sort it in one task. Equal values are counted first; the distinct values of a group are then cut
-into buckets at approximate quantiles, the few bucket totals give each bucket its offset, and the
-window runs inside (group, bucket). The result is exact whatever the cut points are.
+sort it in one task. Equal values are counted first; the distinct values are then dealt to range
+partitions, whose number grows with their count, the totals of the partitions give each its offset,
+and the window runs inside (group, partition). The result is exact whatever the cut points are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from factrail.functions.stats import ratio
 from factrail.session import materialise
 
 
-def _place(df: DataFrame, value: str) -> Column:
-    """A DOUBLE that never decreases along the order of the values; strings use their first 7 bytes."""
-    if isinstance(df.schema[value].dataType, StringType):
-        head = F.rpad(F.hex(F.substring(F.col(value).cast("binary"), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(value).cast("double")
+#: Distinct values that one task sorts.
+TASK_ROWS = 250_000
 
 
-def running_totals(df: DataFrame, group: Sequence[str], value: str, weight: str, *, buckets: int = 64) -> DataFrame:
-    """Adds ``before``: the weight of all smaller values of the group. Values are unique per group."""
-    group = list(group)
-    place = _place(df, value)
-    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    splits = df.groupBy(*group).agg(
-        F.array_distinct(F.percentile_approx(place, cuts, F.lit(2000))).alias("_splits")
-    )
-    cut = df.withColumn("_place", place).join(splits, group).withColumn(
-        "_bucket", F.size(F.filter("_splits", lambda s: s < F.col("_place")))
-    ).drop("_splits", "_place")
-    totals = cut.groupBy(*group, "_bucket").agg(F.sum(weight).alias("_w"))
-    offsets = totals.select(
-        *group, "_bucket",
-        F.coalesce(
-            F.sum("_w").over(W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_offset"),
-    )
-    inside = W.partitionBy(*group, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+def running_totals(df: DataFrame, group: Sequence[str], value: str | Sequence[str], weight: str) -> DataFrame:
+    """Adds ``before``: the weight of all smaller values of the group. Values (one column or several) are unique per group.
+
+    ``group`` may be empty. The order of a column is Spark's: NULL first, strings by all their bytes.
+    """
+    group, value = list(group), [value] if isinstance(value, str) else list(value)
+    parts = df.count() // TASK_ROWS + 1
+    placed = materialise(df.repartitionByRange(parts, *group, *value).withColumn("_part", F.spark_partition_id()))
+    totals = placed.groupBy(*group, "_part").agg(F.sum(weight).alias("_w"))
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*group, "_part", F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_offset"))
+    inside = W.partitionBy(*group, "_part").orderBy(*value).rowsBetween(W.unboundedPreceding, -1)
     return (
-        cut.join(offsets, [*group, "_bucket"])
-        .withColumn("before", F.col("_offset") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .drop("_bucket", "_offset")
+        placed.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+        .join(offsets, [*group, "_part"])
+        .withColumn("before", F.col("_offset") + F.col("_inside"))
+        .drop("_part", "_inside", "_offset")
     )
 
 

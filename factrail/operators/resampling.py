@@ -3,9 +3,8 @@
 An item enters a pooled statistic only through its numbers, so items with equal numbers are one cell
 with a multiplicity. Two exact ways to draw with replacement are offered:
 
-* ``slots``: draw j of replicate b picks position md5(seed, group, b, j) mod n on the line of items
-  ordered by cell; the position is mapped to its cell by a range lookup. Native expressions only, no
-  shuffle of the draws (they are counted per replicate on the map side), reproducible in any engine.
+* ``slots``: draw j of replicate b picks a position on the line of items ordered by cell, by integer
+  arithmetic that any engine can repeat; draws, lookup and sums happen inside the task (``draws``).
 * ``multinomial``: a block of replicates draws the multiplicities of the cells in an Arrow batch; the
   work is replicates x cells and does not grow with the number of items. Cells travel in parts of at
   most PART cells: every part draws from the same generator how many items of a replicate fall to each
@@ -16,27 +15,20 @@ with a multiplicity. Two exact ways to draw with replacement are offered:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from factrail.operators.draws import bootstrap_sums, choice_sums, hash_number
 from factrail.operators.ranking import running_totals
-from factrail.session import materialise, parallelism
+from factrail.session import materialise, parallelism, ship
 
-CHUNK = 65536
-BLOCKS = 2048
 PART = 4096
 BLOCK = 128
 
 
-def hash_number(*parts: Column) -> Column:
-    """Non-negative BIGINT from 15 hex digits of an md5 over colon-joined parts."""
-    text = F.concat_ws(":", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
-
-
 def cells_of(items: DataFrame, group: Sequence[str], stats: Sequence[str]) -> DataFrame:
     """(group, stats, n, start): cells in the order of their numbers, with the first position of each.
 
@@ -45,53 +37,7 @@ def cells_of(items: DataFrame, group: Sequence[str], stats: Sequence[str]) -> Da
     """
     group, stats = list(group), list(stats)
     counted = materialise(items.groupBy(*group, *stats).agg(F.count(F.lit(1)).alias("n")))
-    # Running start per first number, then inside it: the window groups are (group, first number).
-    first = counted.groupBy(*group, stats[0]).agg(F.sum("n").alias("_n"))
-    offsets = running_totals(first, group, stats[0], "_n").select(*group, stats[0], F.col("before").alias("_before"))
-    inside = W.partitionBy(*group, stats[0]).orderBy(*stats[1:] or [stats[0]]).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        counted.join(offsets, [*group, stats[0]])
-        .withColumn("start", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .drop("_before")
-    )
-
-
-def slot_draws(cells: DataFrame, group: Sequence[str], *, replicates: int, seed: int) -> DataFrame:
-    """(group, b, stats, one row per draw): n draws with replacement for each replicate of each group.
-
-    The line of n positions is cut into at most BLOCKS blocks; a cell is listed under every block it
-    touches (cells + BLOCKS rows at most), and a draw meets the one cell of its block that covers it.
-    """
-    group = list(group)
-    size = cells.groupBy(*group).agg(F.sum("n").alias("_size"))
-    width = F.greatest(F.lit(1), F.ceil(F.col("_size") / BLOCKS)).cast("bigint")
-    chunks = (
-        size.select(*group, "_size", width.alias("_width"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-        .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_size - 1) div {CHUNK}"))).alias("_chunk"))
-    )
-    chunks = chunks.repartition(parallelism(cells.sparkSession), *group, "b", "_chunk")
-    lo = F.col("_chunk") * CHUNK
-    draws = chunks.select(
-        *group, "_size", "_width", "b",
-        F.explode(F.sequence(lo, F.least(lo + (CHUNK - 1), F.col("_size") - 1))).alias("_slot"),
-    ).withColumn("_pos", F.pmod(hash_number(F.lit(seed), *[F.col(g) for g in group], F.col("b"), F.col("_slot")), F.col("_size")))
-    draws = draws.withColumn("_block", F.expr("_pos div _width"))
-    spread = (
-        cells.join(size, group)
-        .withColumn("_width", width)
-        .withColumn("_end", F.col("start") + F.col("n"))
-        .withColumn("_block", F.explode(F.sequence(F.expr("start div _width"), F.expr("(_end - 1) div _width"))))
-        .drop("_size", "_width")
-    )
-    on = [*group, "_block"]
-    joined = draws.join(spread, on).where((F.col("_pos") >= F.col("start")) & (F.col("_pos") < F.col("_end")))
-    return joined.drop("_size", "_width", "_slot", "_pos", "_block", "start", "_end", "n")
-
-
-def slot_sums(cells: DataFrame, group: Sequence[str], stats: Sequence[str], *, replicates: int, seed: int) -> DataFrame:
-    """(group, b, stats): the sums of the numbers over the draws of every replicate."""
-    draws = slot_draws(cells, group, replicates=replicates, seed=seed)
-    return draws.groupBy(*group, "b").agg(*[F.sum(s).alias(s) for s in stats])
+    return materialise(running_totals(counted, group, stats, "n").withColumnRenamed("before", "start"))
 
 
 def _parts(cells: DataFrame, group: Sequence[str], order: Sequence[str], fields: list[Column], counts: Sequence[str]) -> DataFrame:
@@ -123,7 +69,8 @@ def _generators(seed: int, row) -> tuple[np.random.Generator, np.random.Generato
 
 
 def multinomial_sums(cells: DataFrame, group: Sequence[str], stats: Sequence[str], *, replicates: int, seed: int) -> DataFrame:
-    """As ``slot_sums``, from multinomial multiplicities of the cells, for any number of cells."""
+    """As ``bootstrap_sums``, from multinomial multiplicities of the cells, for any number of cells."""
+    ship(cells.sparkSession)
     group, stats = list(group), list(stats)
     fields = ["start", "n", *[F.col(s).cast("double").alias(s) for s in stats]]
     jobs = _jobs(_parts(cells, group, ["start"], fields, ["n"]), group, replicates, seed)
@@ -202,7 +149,7 @@ def bootstrap_gap_difference(
     cells = cells_of(items, group, stats)
     point = cells.groupBy(*group).agg(F.sum("n").alias("n_items"), *[F.sum(F.col("n") * F.col(s)).alias(s) for s in stats])
     point = point.select(*group, "n_items", _gap_difference().alias("diff"))
-    draw = {"slots": slot_sums, "multinomial": multinomial_sums}[method]
+    draw = {"slots": bootstrap_sums, "multinomial": multinomial_sums}[method]
     draws = draw(cells, group, stats, replicates=replicates, seed=seed).select(*group, "b", _gap_difference().alias("x"))
     return excludes_zero(point.join(percentiles(draws, group, "x", rule=rule), group, "left"))
 
@@ -223,15 +170,56 @@ def bootstrap_mean(
         F.sum(F.when(F.abs(x) <= 1e-12, n).otherwise(0)).alias("unchanged"),
         F.sum(F.when(x < -1e-12, n).otherwise(0)).alias("worsened"),
     )
-    if method == "slots":
-        sums = slot_draws(cells, group, replicates=replicates, seed=seed).groupBy(*group, "b").agg(F.avg("x").alias("x"))
-    else:
-        size = cells.groupBy(*group).agg(F.sum("n").alias("_m"))
-        sums = multinomial_sums(cells, group, ["x"], replicates=replicates, seed=seed)
-        sums = sums.join(size, group).withColumn("x", F.col("x") / F.col("_m"))
+    size = cells.groupBy(*group).agg(F.sum("n").alias("_m"))
+    draw = {"slots": bootstrap_sums, "multinomial": multinomial_sums}[method]
+    sums = draw(cells, group, ["x"], replicates=replicates, seed=seed).join(size, group).withColumn("x", F.col("x") / F.col("_m"))
     return excludes_zero(point.join(percentiles(sums.select(*group, "b", "x"), group, "x", rule=rule), group, "left"))
 
 
+def joint_intervals(
+    items: DataFrame, group: Sequence[str], ratios: Mapping[str, tuple[str, str | None]], *, replicates: int = 10_000,
+    seed: int = 20260918, method: str = "slots", rule: str = "linear", stratum: str | None = None, weight: str | None = None,
+) -> DataFrame:
+    """(group, statistic, n_items, mean, ci_lo, ci_hi, n_boot, excludes_zero): many statistics from the same draws.
+
+    A row of ``items`` is one item with all its numbers, so that one draw serves every statistic and differences between
+    them are paired. A statistic is sum(a) / sum(b) over the drawn items, or their mean of ``a`` where b is None; an unknown number
+    counts as zero, so an item without a statistic is left out of it by a NULL or zero in both.
+    With ``stratum`` every stratum draws its own items, and a statistic is the mean of the strata weighted by ``weight``
+    (a column that is constant in a stratum).
+    """
+    group = list(group)
+    keys = group + ([stratum] if stratum else [])
+    stats = sorted({c for pair in ratios.values() for c in pair if c})
+    known = items.select(*keys, *[F.coalesce(F.col(c), F.lit(0).cast(items.schema[c].dataType)).alias(c) for c in stats])
+    cells = cells_of(known, keys, stats)
+    size = cells.groupBy(*keys).agg(F.sum("n").alias("n_items"))
+    draw = {"slots": bootstrap_sums, "multinomial": multinomial_sums}[method]
+    sums = draw(cells, keys, stats, replicates=replicates, seed=seed)
+    whole = cells.groupBy(*keys).agg(*[F.sum(F.col("n") * F.col(c)).cast("double").alias(c) for c in stats]).withColumn("b", F.lit(-1))
+    rows = sums.unionByName(whole.select(*sums.columns)).join(size, keys)
+    value = {k: F.try_divide(F.col(a), F.col(b) if b else F.col("n_items").cast("double")) for k, (a, b) in ratios.items()}
+    if stratum:
+        rows = rows.join(items.select(*keys, weight).distinct(), keys)
+        part = lambda x: F.try_divide(F.sum(F.when(x.isNotNull(), x * F.col(weight))), F.sum(F.when(x.isNotNull(), F.col(weight))))
+        rows = rows.groupBy(*group, "b").agg(F.sum("n_items").alias("n_items"), *[part(x).alias(f"_v_{k}") for k, x in value.items()])
+        value = {k: F.col(f"_v_{k}") for k in value}
+    long = rows.select(*group, "b", "n_items", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("statistic"), x.alias("x")) for k, x in value.items()])).alias("v")).select(*group, "b", "n_items", "v.*")
+    long = materialise(long)
+    point = long.where("b = -1").select(*group, "statistic", "n_items", F.col("x").alias("mean"))
+    limits = percentiles(long.where("b >= 0"), [*group, "statistic"], "x", rule=rule)
+    out = point.join(limits, [*group, "statistic"], "left")
+    return out.withColumn("excludes_zero", (F.round("ci_lo", 12) > 0) | (F.round("ci_hi", 12) < 0))
+
+
+def wide_intervals(intervals: DataFrame, group: Sequence[str], names: Mapping[str, str]) -> DataFrame:
+    """One row per group: <column>_ci_lo, _ci_hi and _excludes_zero for every statistic named in ``names``."""
+    pick = lambda k, c: F.max(F.when(F.col("statistic") == k, F.col(c)))
+    return intervals.groupBy(*group).agg(*[
+        pick(k, c).alias(f"{name}_{c}") for k, name in names.items() for c in ("ci_lo", "ci_hi", "excludes_zero")])
+
+
 def permutation_test(
     rows: DataFrame, group: Sequence[str], label: str, value: str, *, replicates: int = 10_000, seed: int = 20260918,
 ) -> DataFrame:
@@ -250,6 +238,7 @@ def permutation_test(
     whole = cells.groupBy(*group).agg(F.sum("n").alias("_n"), F.sum("na").alias("n_a"), F.sum(n * x).alias("_s"), F.sum(na * x).alias("_sa"))
     n_a, n_b = F.col("n_a"), F.col("_n") - F.col("n_a")
     difference = lambda first: F.try_divide(first, n_a.cast("double")) - F.try_divide(F.col("_s") - first, n_b.cast("double"))
+    ship(rows.sparkSession)
     jobs = _jobs(_parts(cells, group, ["x"], ["x", "n"], ["n", "na"]), group, replicates, seed)
     schema = T.StructType([rows.schema[g] for g in group] + [T.StructField("b", T.IntegerType()), T.StructField("first", T.DoubleType())])
 
@@ -278,40 +267,32 @@ def permutation_test(
 
 
 def permutation_test_ordered(
-    rows: DataFrame, group: Sequence[str], label: str, value: str, row_id: str, *, replicates: int, seed: int = 20260918,
+    rows: DataFrame, group: Sequence[str], label: str, value: str, row_id: str | None = None, *, replicates: int = 10_000, seed: int = 20260918,
 ) -> DataFrame:
-    """The same test with a replicate's first group made of the n_a rows of smallest hash.
+    """The same test with a replicate's first group made of the images of the first slots under a keyed permutation of the
+    positions, which any engine can repeat.
 
-    The hashes fall into 1024 equal ranges that are summed on the map side; only the one range that
-    holds the n_a-th smallest hash is sorted, so no replicate is ever ordered as a whole. ``value``
-    should be integral so that sums do not depend on their order.
+    Rows of equal value are one cell and interchangeable, so ``row_id`` is not read. The smaller of both label groups
+    is drawn and summed inside the task; no row is repeated per replicate. ``value`` should be integral so that sums do not
+    depend on their order. Fewer than 2^31 rows a group.
     """
     group = list(group)
     sizes = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("n_a"),
         F.sum(value).alias("s"), F.sum(F.when(F.col(label), F.col(value))).alias("s_a"))
-    drawn = rows.select(*group, row_id, F.col(value).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    drawn = drawn.withColumn("h", hash_number(F.lit(seed), F.col("b"), F.col(row_id)))
-    drawn = drawn.withColumn("range", F.shiftright("h", 50))
-    ranges = drawn.groupBy(*group, "b", "range").agg(F.count(F.lit(1)).alias("c"), F.sum("x").alias("sx"))
-    w = W.partitionBy(*group, "b").orderBy("range").rowsBetween(W.unboundedPreceding, 0)
-    ranges = ranges.join(sizes, group).withColumn("upto", F.sum("c").over(w))
-    whole = ranges.groupBy(*group, "b").agg(
-        F.coalesce(F.sum(F.when(F.col("upto") <= F.col("n_a"), F.col("sx"))), F.lit(0)).alias("sa"))
-    edge = ranges.where((F.col("upto") > F.col("n_a")) & (F.col("upto") - F.col("c") < F.col("n_a"))).select(
-        *group, "b", "range", (F.col("n_a") - (F.col("upto") - F.col("c"))).alias("need"))
-    rank = F.row_number().over(W.partitionBy(*group, "b", "range").orderBy("h", row_id))
-    part = drawn.join(edge, [*group, "b", "range"]).withColumn("rn", rank).where(F.col("rn") <= F.col("need"))
-    part = part.groupBy(*group, "b").agg(F.sum("x").alias("extra"))
+    sizes = materialise(sizes)
     n_a, n_b = F.col("n_a"), F.col("n") - F.col("n_a")
+    cells = cells_of(rows.select(*group, F.col(value).alias("x")), group, ["x"]).join(
+        sizes.select(*group, F.least(n_a, n_b).alias("_fewer")), group)
+    drawn = choice_sums(cells, group, ["x"], F.max("_fewer"), replicates=replicates, seed=seed)
 
     def difference(first: Column) -> Column:
         return F.try_divide(first.cast("double"), n_a.cast("double")) - F.try_divide(
             (F.col("s") - first).cast("double"), n_b.cast("double"))
 
-    drawn_diff = difference(F.col("sa") + F.coalesce(F.col("extra"), F.lit(0)))
-    hits = whole.join(part, [*group, "b"], "left").join(sizes, group).select(
-        *group, (F.abs(drawn_diff) >= F.abs(difference(F.col("s_a"))) - 1e-15).alias("hit"))
+    first = F.when(n_a <= n_b, F.col("x")).otherwise(F.col("s") - F.col("x"))
+    hits = drawn.join(sizes, group).select(
+        *group, (F.abs(difference(first)) >= F.abs(difference(F.col("s_a"))) - 1e-15).alias("hit"))
     hits = hits.groupBy(*group).agg(F.sum(F.col("hit").cast("bigint")).alias("hits"))
     p = F.when((n_a >= 2) & (n_b >= 2), (F.col("hits") + 1) / F.lit(replicates + 1))
     return sizes.join(hits, group, "left").select(

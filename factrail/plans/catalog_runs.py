@@ -322,7 +322,8 @@ def s10(spark, sf):
     rows = X.facts(spark, sf).where("view IN ('text', 'internal')").drop("view")
     out = item_scores(rows)
     label = F.transform("facts", lambda f: F.concat(f["type"], F.lit(":"), f["value"], f["polarity"]))
-    return out.select("model", "item_id", "condition", F.array_join(F.array_sort(label), " ").alias("facts"))
+    return out.select("model", "item_id", F.explode("scores").alias("condition", "facts")).select(
+        "model", "item_id", "condition", F.array_join(F.array_sort(label), " ").alias("facts"))
 
 
 @query("s11_shards", with_fx("fx_items") + "SELECT model, item_id FROM (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS i FROM fx_items) WHERE i % 7 = 3")

@@ -178,20 +178,59 @@ def w12(spark, sf):
 
 # ---- resampling ----------------------------------------------------------------------------
 
-def sql_slots(items: str, group: str, stats: list[str], replicates: int, seed: int) -> dict[str, str]:
+def sql_fifth(source: str, x: str, out: str, p: str = "2147483647") -> str:
+    """``out`` = x^5 modulo p beside the columns of the source."""
+    return (f"SELECT * EXCLUDE (x2, x4), x4 * {x} % {p} AS {out} FROM (SELECT *, x2 * x2 % {p} AS x4 FROM (SELECT *, {x} * {x} % {p} AS x2 FROM ({source})))")
+
+
+def sql_keys(sizes: str, group: str, replicates: int, seed: int) -> dict[str, str]:
+    """A key of every replicate of every group; ``sizes`` holds (group, size)."""
+    h = HASH.format(f"concat_ws(':', {seed}, {group})")
+    return {"kb": sql_fifth(f"SELECT *, ({h} % 2147483647 + b * 40692) % 2147483647 AS u FROM {sizes} CROSS JOIN (SELECT unnest(range({replicates})) AS b)", "u", "kb")}
+
+
+def sql_slots(items: str, group: str, stats: list[str], replicates: int, seed: int, tag: str = "") -> dict[str, str]:
     """Positions of the items in the order of their numbers, and the drawn items of every replicate."""
-    order = ", ".join([*stats, "item_id"])
-    h = HASH.format(f"concat_ws(':', {seed}, {group}, b, slot)")
+    first = sql_fifth("SELECT *, (kb + slot * 16807) % 2147483647 AS w FROM (SELECT * EXCLUDE (u), unnest(range(size)) AS slot FROM kb" + tag + ")", "w", "x1")
+    second = sql_fifth(f"SELECT * EXCLUDE (w), (x1 * 48271 + kb) % 2147483647 AS w FROM ({first})", "w", "y1")
     return {
-        "pos": f"SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {order}) - 1 AS pos, count(*) OVER (PARTITION BY {group}) AS size FROM {items}",
-        "sz": f"SELECT {group}, max(size) AS size FROM pos GROUP BY {group}",
-        "slots": f"SELECT {group}, size, b, unnest(range(size)) AS slot FROM sz CROSS JOIN (SELECT unnest(range({replicates})) AS b)",
-        "drawn": f"SELECT s.{group.replace(', ', ', s.')}, s.b, " + ", ".join(f"p.{x}" for x in stats)
-        + f" FROM (SELECT *, {h} % size AS pos FROM slots) s JOIN pos p ON p.pos=s.pos AND "
+        "pos" + tag: f"SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {', '.join(stats)}) - 1 AS pos FROM {items}",
+        "sz" + tag: f"SELECT {group}, count(*) AS size FROM {items} GROUP BY {group}",
+        "kb" + tag: sql_keys("sz" + tag, group, replicates, seed)["kb"],
+        "drawn" + tag: f"SELECT s.{group.replace(', ', ', s.')}, s.b, " + ", ".join(f"p.{x}" for x in stats)
+        + f" FROM (SELECT {group}, b, (x1 * 2147483647 + y1) % size AS pos FROM ({second})) s JOIN pos{tag} p ON p.pos=s.pos AND "
         + " AND ".join(f"p.{g}=s.{g}" for g in group.split(", ")),
     }
 
 
+def sql_joint(items: str, group: str, ratios: dict[str, tuple[str, str | None]], replicates: int, seed: int, *, rule: str = "linear",
+              tag: str = "", stratum: str | None = None, weight: str | None = None) -> dict[str, str]:
+    """jci<tag>: interval, point estimate and number of items of many statistics of the same draws."""
+    stats = sorted({c for pair in ratios.values() for c in pair if c})
+    keys = f"{group}, {stratum}" if stratum else group
+    known = f"SELECT {keys}, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in stats) + f" FROM {items}"
+    sums = ", ".join(f"CAST(sum({c}) AS DOUBLE) AS {c}" for c in stats)
+    x = lambda a, b: f"CAST({a} AS DOUBLE) / nullif(CAST({b or 'n_items'} AS DOUBLE), 0)"
+    value, every = {k: x(a, b) for k, (a, b) in ratios.items()}, f"every{tag}"
+    parts = {f"ji{tag}": known, **sql_slots(f"ji{tag}", keys, stats, replicates, seed, tag),
+             f"every{tag}": f"SELECT {keys}, b, {sums}, count(*) AS n_items FROM drawn{tag} GROUP BY {keys}, b UNION ALL SELECT {keys}, -1, {sums}, count(*) FROM ji{tag} GROUP BY {keys}"}
+    if stratum:
+        mean = ", ".join(f"sum({v} * {weight}) / sum({weight}) FILTER ({v} IS NOT NULL) AS v_{k}" for k, v in value.items())
+        every, value = f"strata{tag}", {k: f"v_{k}" for k in value}
+        parts[every] = f"SELECT {group}, b, CAST(sum(n_items) AS BIGINT) AS n_items, {mean} FROM every{tag} JOIN (SELECT DISTINCT {keys}, {weight} FROM {items}) USING ({keys}) GROUP BY {group}, b"
+    parts[f"long{tag}"] = " UNION ALL ".join(f"SELECT {group}, b, n_items, '{k}' AS statistic, {v} AS x FROM {every}" for k, v in value.items())
+    parts[f"draws{tag}"] = f"SELECT * FROM long{tag} WHERE b >= 0 AND x IS NOT NULL"
+    ci = {"linear": LINEAR, "nearest": NEAREST}[rule].format(g=f"{group}, statistic").replace("FROM draws", f"FROM draws{tag}")
+    parts[f"jl{tag}"] = ci
+    parts[f"jci{tag}"] = (f"SELECT p.*, ci_lo, ci_hi, n_boot, round(ci_lo, 12) > 0 OR round(ci_hi, 12) < 0 AS excludes_zero FROM "
+                          f"(SELECT {group}, statistic, n_items, x AS mean FROM long{tag} WHERE b = -1) p LEFT JOIN jl{tag} USING ({group}, statistic)")
+    return parts
+
+
+def sql_wide(tag: str, names: dict[str, str]) -> str:
+    return ", ".join(f"max({c}) FILTER (statistic = '{k}') AS {name}_{c}" for k, name in names.items() for c in ("ci_lo", "ci_hi", "excludes_zero"))
+
+
 NEAREST = """SELECT {g}, max(x) FILTER (i = lo) AS ci_lo, max(x) FILTER (i = hi) AS ci_hi, max(n) AS n_boot FROM (
  SELECT *, CAST(floor(n*0.025) AS BIGINT) AS lo, CAST(floor(n*0.975) AS BIGINT)-1 AS hi FROM (
  SELECT {g}, x, row_number() OVER (PARTITION BY {g} ORDER BY x)-1 AS i, count(*) OVER (PARTITION BY {g}) AS n FROM draws WHERE x IS NOT NULL)) GROUP BY {g}"""
@@ -285,15 +324,26 @@ def positions(spark, sf):
         (F.col("survival") == 0).alias("never"), pos.alias("pos"))
 
 
+def _permuted(source: str) -> str:
+    """y: the image of x under the keyed permutation of the residues of p."""
+    inner = sql_fifth(f"SELECT *, (x * a1 + c1) % p AS u FROM {source}", "u", "v", "p")
+    return sql_fifth(f"SELECT *, (v * a2 + c2) % p AS w FROM ({inner})", "w", "y", "p")
+
+
 def _permutation_sql() -> str:
     from factrail.plans.catalog_paths import ALIVE
 
-    h = HASH.format("concat_ws(':', 3, b, rid)")
     diff = "CAST({a} AS DOUBLE)/n_a - CAST(s-{a} AS DOUBLE)/n_b"
-    return with_fx("fx_plan", "fx_candidates", extra={**ALIVE, "rows_": POSITIONS,
-        "sz": "SELECT model, count(*) FILTER (never) AS n_a, count(*) FILTER (NOT never) AS n_b, sum(pos) AS s, sum(pos) FILTER (never) AS s_a FROM rows_ GROUP BY model",
-        "rk": f"SELECT model, b, pos, row_number() OVER (PARTITION BY model, b ORDER BY {h}, rid) AS rn FROM rows_ CROSS JOIN (SELECT unnest(range({B1})) AS b)",
-        "st": "SELECT r.model, b, sum(r.pos) FILTER (rn <= n_a) AS a FROM rk r JOIN sz USING (model) GROUP BY r.model, b",
+    return with_fx("fx_plan", "fx_candidates", recursive=True, extra={**ALIVE, "rows_": POSITIONS,
+        "sz": "SELECT model, count(*) AS size, count(*) FILTER (never) AS n_a, count(*) FILTER (NOT never) AS n_b, sum(pos) AS s, sum(pos) FILTER (never) AS s_a FROM rows_ GROUP BY model",
+        "prime": "SELECT model, min(p) AS p FROM (SELECT model, unnest(range(size, size + 1000)) AS p FROM sz) WHERE p % 5 <> 1 AND len(list_filter(range(2, CAST(sqrt(p) AS BIGINT) + 1), lambda d: p % d = 0)) = 0 GROUP BY model",
+        **sql_keys("(SELECT model, size, least(n_a, n_b) AS k FROM sz)", "model", B1, 3),
+        "keyed": "SELECT model, b, size, k, p, kb % (p - 1) + 1 AS a1, kb * 48271 % 2147483647 % p AS c1, kb * 69621 % 2147483647 % (p - 1) + 1 AS a2, kb * 40692 % 2147483647 % p AS c2 FROM kb JOIN prime USING (model)",
+        "img": "SELECT model, b, size, p, a1, c1, a2, c2, y FROM (" + _permuted("(SELECT *, unnest(range(k)) AS x FROM keyed)") + ")",
+        "walk": "SELECT * FROM img WHERE y >= size UNION ALL SELECT model, b, size, p, a1, c1, a2, c2, y FROM (" + _permuted("(SELECT * RENAME (y AS x) FROM walk WHERE y >= size)") + ")",
+        "line": "SELECT model, pos AS v, row_number() OVER (PARTITION BY model ORDER BY pos) - 1 AS y FROM rows_",
+        "got": "SELECT model, b, y FROM img WHERE y < size UNION ALL SELECT model, b, y FROM walk WHERE y < size",
+        "st": "SELECT g.model, b, CASE WHEN max(n_a) <= max(n_b) THEN sum(v) ELSE max(s) - sum(v) END AS a FROM got g JOIN line l ON l.model = g.model AND l.y = g.y JOIN sz ON sz.model = g.model GROUP BY g.model, b",
         "hit": f"SELECT st.model, count(*) FILTER (abs({diff.format(a='a')}) >= abs({diff.format(a='s_a')}) - 1e-15) AS hits FROM st JOIN sz USING (model) GROUP BY st.model"}
     ) + f"SELECT model, n_a, n_b, {diff.format(a='s_a')} AS diff, CASE WHEN n_a>=2 AND n_b>=2 THEN CAST(hits+1 AS DOUBLE)/{B1 + 1} END AS p_value FROM sz JOIN hit USING (model)"
 

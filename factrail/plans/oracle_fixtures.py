@@ -95,7 +95,7 @@ FROM (SELECT o, n, q, p, s, ([{_PHRASES}])[(p % {len(PHRASES)}) + 1] AS ph FROM
 }
 
 
-def with_fx(*names: str, extra: dict[str, str] | None = None) -> str:
+def with_fx(*names: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
     """'WITH ...' of the named derived tables and what they need, then the extra expressions."""
     order: list[str] = []
 
@@ -109,4 +109,4 @@ def with_fx(*names: str, extra: dict[str, str] | None = None) -> str:
         visit(name)
     parts = [f"{n} AS ({FX[n][1]})" for n in order]
     parts += [f"{n} AS ({q})" for n, q in (extra or {}).items()]
-    return "WITH " + ",\n".join(parts) + "\n" if parts else ""
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" if parts else ""
