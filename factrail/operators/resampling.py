@@ -213,11 +213,43 @@ def joint_intervals(
     return out.withColumn("excludes_zero", (F.round("ci_lo", 12) > 0) | (F.round("ci_hi", 12) < 0))
 
 
-def wide_intervals(intervals: DataFrame, group: Sequence[str], names: Mapping[str, str]) -> DataFrame:
-    """One row per group: <column>_ci_lo, _ci_hi and _excludes_zero for every statistic named in ``names``."""
+def paired_intervals(
+    rows: DataFrame, group: Sequence[str], unit: Sequence[str], fold: str, folds: Sequence[str], values: Mapping[str, Column],
+    *, sparse: Sequence[str] = (), **draw,
+) -> DataFrame:
+    """(group, fold, statistic, mean, ci_lo, ci_hi, n_boot, excludes_zero): means of ``values`` in every fold, all folds and
+    values of a group from the same draws of units.
+
+    ``rows`` holds one row per unit and fold; a value may be NULL only if it is named in ``sparse``, and is then left
+    out of its own mean.
+    """
+    inside = {f: F.col(fold) == F.lit(f) for f in folds}
+    columns, ratios = [], {}
+    for i, f in enumerate(folds):
+        columns.append(F.coalesce(F.max(F.when(inside[f], F.lit(1.0))), F.lit(0.0)).alias(f"n{i}"))
+        for name, x in values.items():
+            columns.append(F.max(F.when(inside[f], x)).cast("double").alias(f"{name}{i}"))
+            if name in sparse:
+                columns.append(F.max(F.when(inside[f] & x.isNotNull(), F.lit(1.0)).otherwise(0.0)).alias(f"n_{name}{i}"))
+            ratios[f"{name}:{f}"] = (f"{name}{i}", f"n_{name}{i}" if name in sparse else f"n{i}")
+    out = joint_intervals(rows.groupBy(*group, *unit).agg(*columns), group, ratios, **draw)
+    return out.select(
+        *group, F.substring_index("statistic", ":", -1).alias(fold), F.substring_index("statistic", ":", 1).alias("statistic"),
+        "mean", "ci_lo", "ci_hi", "n_boot", "excludes_zero").where("mean IS NOT NULL")
+
+
+def wide_intervals(intervals: DataFrame, group: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """One row per group: <name>_ci_lo, <name>_ci_hi and <name>_excludes_zero for every statistic named."""
     pick = lambda k, c: F.max(F.when(F.col("statistic") == k, F.col(c)))
     return intervals.groupBy(*group).agg(*[
-        pick(k, c).alias(f"{name}_{c}") for k, name in names.items() for c in ("ci_lo", "ci_hi", "excludes_zero")])
+        pick(k, c).alias(f"{k}_{c}") for k in names for c in ("ci_lo", "ci_hi", "excludes_zero")])
+
+
+def outcomes(rows: DataFrame, group: Sequence[str], x: Column, tol: float = 1e-12) -> DataFrame:
+    """(group, n_items, improved, unchanged, worsened) of the values x."""
+    return rows.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_items"), F.count_if(x > tol).alias("improved"),
+        F.count_if(F.abs(x) <= tol).alias("unchanged"), F.count_if(x < -tol).alias("worsened"))
 
 
 def permutation_test(

@@ -296,18 +296,36 @@ def typed_losses(picks: DataFrame, typed: DataFrame) -> DataFrame:
         *[(1.0 - F.col(f"k_{m}") / F.col("n_up").cast("double")).alias(m) for m in METHODS3])
 
 
-def question_summary(losses: DataFrame, keys: Sequence[str] = ("model",), tol: float = 1e-12) -> DataFrame:
-    """Equal question weights: mean over a question's folds, then over questions; with outcome counts.
-
-    Questions without all three folds are left out (``incomplete_questions`` lists them).
-    """
+def question_means(losses: DataFrame) -> DataFrame:
+    """(item, type): the mean losses over a question's folds, for questions with all three; c_ columns over the folds in
+    which the methods picked differently (NULL without one)."""
     different = F.col("different")
-    q = losses.groupBy(*ITEM, "type").agg(
+    return losses.groupBy(*ITEM, "type").agg(
         F.count_distinct("evaluator").alias("folds"), F.max("n_up").alias("n_up"),
         F.sum(different.cast("bigint")).alias("n_diff"),
         *[F.avg(m).alias(m) for m in METHODS3],
         *[F.avg(F.when(different, F.col(m))).alias(f"c_{m}") for m in METHODS3],
     ).where(F.col("folds") == len(VIEWS))
+
+
+def question_intervals(losses: DataFrame, types: Sequence[str], **draw) -> DataFrame:
+    """(model, type, statistic, mean, interval): paired gains of plan facts over the original and over plan texts, the
+    latter also where both picked differently; all types and gains of a model from the same draws of questions."""
+    from factrail.operators.resampling import paired_intervals
+
+    difference = lambda a, b: F.round(F.col(a) - F.col(b), 12)  # noqa: E731  (means of folds that are equal but for their last bit are one cell)
+    gains = {
+        "original_minus_fact": difference("original", "plan_fact"), "text_minus_fact": difference("plan_text", "plan_fact"),
+        "conditional_text_minus_fact": difference("c_plan_text", "c_plan_fact")}
+    return paired_intervals(question_means(losses), ["model"], ["item_id"], "type", types, gains, sparse=["conditional_text_minus_fact"], **draw)
+
+
+def question_summary(losses: DataFrame, keys: Sequence[str] = ("model",), tol: float = 1e-12) -> DataFrame:
+    """Equal question weights: mean over a question's folds, then over questions; with outcome counts.
+
+    Questions without all three folds are left out (``incomplete_questions`` lists them).
+    """
+    q = question_means(losses)
     text_gain, orig_gain = F.col("plan_text") - F.col("plan_fact"), F.col("original") - F.col("plan_fact")
     cond_gain = F.col("c_plan_text") - F.col("c_plan_fact")
 

@@ -81,12 +81,8 @@ def output_mode_gap(scores: DataFrame) -> DataFrame:
 STRATA = {"all": (None, None), "le15": (None, 15), "15to30": (15, 30), "le30": (None, 30), "gt30": (30, None)}
 
 
-def duration_strata(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, stratum): accuracy per source and paired drops against the internal text.
-
-    rows (keys, duration, correct_internal, correct_asr1..3). A row is placed in its strata by an
-    expression over the fixed bounds, so no range join is needed; empty strata stay with n = 0.
-    """
+def _in_strata(rows: DataFrame) -> DataFrame:
+    """A copy of every row for each stratum that its duration falls into."""
     d = F.col("duration")
     member = []
     for name, (lo, hi) in STRATA.items():
@@ -96,7 +92,26 @@ def duration_strata(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         if hi is not None:
             inside = inside & (d <= hi)
         member.append(F.when(inside, F.lit(name)))
-    placed = rows.withColumn("stratum", F.explode(F.filter(F.array(*member), lambda s: s.isNotNull())))
+    return rows.withColumn("stratum", F.explode(F.filter(F.array(*member), lambda s: s.isNotNull())))
+
+
+def drop_intervals(rows: DataFrame, keys: Sequence[str], **draw) -> DataFrame:
+    """(keys, stratum, statistic): the mean paired drop of every view in every stratum with its interval; the views of a
+    stratum are drawn together."""
+    from factrail.operators.resampling import joint_intervals
+
+    drops = _in_strata(rows).select(*keys, "stratum", *[
+        (F.col("correct_internal").cast("bigint") - F.col(f"correct_{s}").cast("bigint")).alias(f"drop_{s}") for s in SOURCES[1:]])
+    return joint_intervals(drops, [*keys, "stratum"], {f"drop_{s}": (f"drop_{s}", None) for s in SOURCES[1:]}, **draw)
+
+
+def duration_strata(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, stratum): accuracy per source and paired drops against the internal text.
+
+    rows (keys, duration, correct_internal, correct_asr1..3). A row is placed in its strata by an
+    expression over the fixed bounds, so no range join is needed; empty strata stay with n = 0.
+    """
+    placed = _in_strata(rows)
     acc = lambda s: F.avg(F.col(f"correct_{s}").cast("double"))
     agg = placed.groupBy(*keys, "stratum").agg(
         F.count(F.lit(1)).alias("n"), F.avg("duration").alias("mean_duration"), F.max("duration").alias("max_duration"),

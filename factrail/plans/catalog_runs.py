@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factrail.dims import MODES, VIEWS, Pair, decomposition_pairs, planned, spoken
+from factrail.dims import FACT_TYPES, MODES, VIEWS, Pair, decomposition_pairs, planned, spoken
 from factrail.functions import similarity as E
 from factrail.functions import text as T
 from factrail.functions.stats import r6, ratio
@@ -22,8 +22,8 @@ from factrail.plans import oracle_text as O
 from factrail.plans.catalog_paths import (
     SQL_A03, TAX, _decomposition_sql, j08, observed, observed_flags, presence, sql_pooled, sql_seen,
 )
-from factrail.plans.catalog_selection import FXC, SUMMARY, counts, rounded, sql_counts, sql_folds
-from factrail.plans.oracle_fixtures import FX_VIEWS, with_fx
+from factrail.plans.catalog_selection import B1, FXC, SUMMARY, counts, rounded, sql_counts, sql_folds, sql_paired, sql_wide, wide
+from factrail.plans.oracle_fixtures import FX, FX_VIEWS, with_fx
 from factrail.plans.registry import query
 from factrail.session import materialise, parallelism
 from factrail.sources import readers
@@ -447,11 +447,19 @@ def w08(spark, sf):
     return S.random_pick(S.select_folds(c), c).select("model", "item_id", "evaluator", "random_pick", "random_pick_gap")
 
 
-@query("w09_fold_report", with_fx(*FXT, extra=TEXT_CTE) + "SELECT model, evaluator, count(*) AS n_items, round(avg(base_gap),6) AS loss_original, round(avg(random_gap),6) AS loss_random, round(avg(oracle_gap),6) AS loss_oracle, "
+GAINS = {**{f"reduction_{m}": f"base_gap - {m}_gap" for m in METHODS}, "plan_minus_consistency": "fact_consistency_gap - plan_guided_gap",
+         "plan_minus_plantext": "plan_text_gap - plan_guided_gap"}
+
+
+@query("w09_fold_report", with_fx(*FXT, extra={**TEXT_CTE, **sql_paired("picks", "model", "item_id", "evaluator", list(VIEWS), GAINS, B1, 17, rule="nearest"),
+    "fr": "SELECT model, evaluator, count(*) AS n_items, round(avg(base_gap),6) AS loss_original, round(avg(random_gap),6) AS loss_random, round(avg(oracle_gap),6) AS loss_oracle, "
        + ", ".join(f"round(avg({m}_gap),6) AS loss_{m}, round(avg(base_gap-{m}_gap),6) AS reduction_{m}, round(avg(CASE WHEN {m}_pick=0 THEN 1.0 ELSE 0.0 END),6) AS picked_original_{m}, round(avg(CASE WHEN {m}_pick=plan_guided_pick THEN 1.0 ELSE 0.0 END),6) AS same_pick_{m}" for m in METHODS)
-       + ", round(avg(fact_consistency_gap-plan_guided_gap),6) AS plan_minus_consistency, round(avg(plan_text_gap-plan_guided_gap),6) AS plan_minus_plantext FROM picks GROUP BY model, evaluator")
+       + ", round(avg(fact_consistency_gap-plan_guided_gap),6) AS plan_minus_consistency, round(avg(plan_text_gap-plan_guided_gap),6) AS plan_minus_plantext FROM picks GROUP BY model, evaluator",
+    "ci": f"SELECT model, evaluator, {sql_wide(list(GAINS))} FROM pci GROUP BY model, evaluator"}) + "SELECT * FROM fr JOIN ci USING (model, evaluator)")
 def w09(spark, sf):
-    return R.fold_report(S.select_folds(text_counts(spark, sf), METHODS), METHODS)
+    picks = materialise(S.select_folds(text_counts(spark, sf), METHODS))
+    ci = R.fold_intervals(picks, METHODS, replicates=B1, seed=17, rule="nearest")
+    return R.fold_report(picks, METHODS).join(wide(ci, ["model", "evaluator"], list(GAINS)), ["model", "evaluator"])
 
 
 TYPED_CTE = dict(TEXT_CTE)
@@ -469,14 +477,21 @@ def typed(spark, sf):
     return picks, S.typed_losses(picks, counts(spark, sf, by_type=True))
 
 
-@query("w13_selection_by_type", with_fx(*FXT, extra=TYPED_CTE) + """SELECT model, type, count(*) AS n_questions, CAST(sum(n_up) AS BIGINT) AS n_upstream_facts, round(avg(original),6) AS loss_original, round(avg(plan_text),6) AS loss_plan_text, round(avg(plan_fact),6) AS loss_plan_fact,
+GAIN3 = {k: f"round({x}, 12)" for k, x in (
+    ("original_minus_fact", "original - plan_fact"), ("text_minus_fact", "plan_text - plan_fact"), ("conditional_text_minus_fact", "c_plan_text - c_plan_fact"))}
+
+
+@query("w13_selection_by_type", with_fx(*FXT, extra={**TYPED_CTE, **sql_paired("qq", "model", "item_id", "type", [*FACT_TYPES, "overall"], GAIN3, B1, 19, sparse=("conditional_text_minus_fact",)),
+    "ci": f"SELECT model, type, {sql_wide(list(GAIN3))} FROM pci GROUP BY model, type", "sm": """SELECT model, type, count(*) AS n_questions, CAST(sum(n_up) AS BIGINT) AS n_upstream_facts, round(avg(original),6) AS loss_original, round(avg(plan_text),6) AS loss_plan_text, round(avg(plan_fact),6) AS loss_plan_fact,
  round(avg(original-plan_fact),6) AS original_minus_fact, round(avg(plan_text-plan_fact),6) AS text_minus_fact,
  count(*) FILTER (original-plan_fact > 1e-12) AS original_improved, count(*) FILTER (abs(original-plan_fact) <= 1e-12) AS original_unchanged, count(*) FILTER (original-plan_fact < -1e-12) AS original_worsened,
  count(*) FILTER (plan_text-plan_fact > 1e-12) AS text_improved, count(*) FILTER (abs(plan_text-plan_fact) <= 1e-12) AS text_unchanged, count(*) FILTER (plan_text-plan_fact < -1e-12) AS text_worsened,
- count(*) FILTER (nd > 0) AS n_disagreeing, CAST(sum(nd) AS BIGINT) AS n_disagreeing_folds, round(avg(c_plan_text-c_plan_fact),6) AS conditional_text_minus_fact FROM qq GROUP BY model, type""")
+ count(*) FILTER (nd > 0) AS n_disagreeing, CAST(sum(nd) AS BIGINT) AS n_disagreeing_folds, round(avg(c_plan_text-c_plan_fact),6) AS conditional_text_minus_fact FROM qq GROUP BY model, type"""}) + "SELECT * FROM sm JOIN ci USING (model, type)")
 def w13(spark, sf):
-    out = S.question_summary(typed(spark, sf)[1])
-    return rounded(out, [c for c in out.columns if c.startswith(("loss_", "conditional")) or c.endswith("_minus_fact")])
+    losses = materialise(typed(spark, sf)[1])
+    out = S.question_summary(losses)
+    ci = wide(S.question_intervals(losses, [*FACT_TYPES, "overall"], replicates=B1, seed=19), ["model", "type"], list(GAIN3))
+    return rounded(out, [c for c in out.columns if c.startswith(("loss_", "conditional")) or c.endswith("_minus_fact")]).join(ci, ["model", "type"])
 
 
 @query("w14_selection_violations", with_fx(*FXT, extra=TYPED_CTE) + "SELECT model, item_id, evaluator, 'loss mismatch' AS rule FROM picks WHERE item_id % 29 = 0")
@@ -532,6 +547,10 @@ def d02(spark, sf):
     return D.candidate_validation(t.select(*S.CAND), c, base)
 
 
+#: Retold plans: one in twenty in lower case, the others with a trailing blank.
+RETOLD = "SELECT model, item_id, cand_idx, plan_text, CASE WHEN (item_id * 3 + cand_idx) % 20 = 0 THEN lower(plan_text) ELSE plan_text || ' ' END AS text FROM fx_order_text"
+
+
 @query("j10_identical_text_items", with_fx("fx_order_text") + "SELECT model, item_id, count(*) AS n_matches FROM fx_order_text GROUP BY model, item_id HAVING bool_and((item_id * 3 + cand_idx) % 20 <> 0)")
 def j10(spark, sf):
     t = X.order_texts(spark, sf)
@@ -767,9 +786,9 @@ def d08(spark, sf):
     return D.snapshot_diff(now, later, ["model", "metric"], ["retained", "total"], ["total"])
 
 
-@query("a08_verdict", _decomposition_sql(["asr1"]).rstrip() + """, g AS (SELECT model, metric, 1.0-CAST(retained AS DOUBLE)/CAST(total AS DOUBLE) AS gap FROM pooled WHERE metric IN ('comply_EF','render_EF','render_SPEAK')),
+@query("a08_verdict", _decomposition_sql(["asr1"]).rstrip() + f""", fx_order_text AS ({FX["fx_order_text"][1]}), g AS (SELECT model, metric, 1.0-CAST(retained AS DOUBLE)/CAST(total AS DOUBLE) AS gap FROM pooled WHERE metric IN ('comply_EF','render_EF','render_SPEAK')),
  w AS (SELECT model, max(gap) FILTER (metric='comply_EF') AS c, max(gap) FILTER (metric='render_EF') AS e, max(gap) FILTER (metric='render_SPEAK') AS s FROM g GROUP BY model),
- same AS (SELECT model, item_id FROM fx_items WHERE item_id % 9 = 0),
+ same AS (SELECT DISTINCT model, item_id FROM fx_order_text WHERE cand_idx = 0 AND {O.normalise('plan_text')} = {O.normalise('asr1')}),
  a AS (SELECT DISTINCT model, item_id, type, value, polarity FROM fx_facts WHERE condition='READ' AND view='text'), b AS (SELECT DISTINCT model, item_id, type, value, polarity FROM fx_facts WHERE condition='EF' AND view='internal'),
  na AS (SELECT model, item_id, count(*) AS n FROM a GROUP BY ALL), nb AS (SELECT model, item_id, count(*) AS n FROM b GROUP BY ALL), nab AS (SELECT model, item_id, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) GROUP BY ALL),
  f AS (SELECT same.model, CASE WHEN coalesce(na.n,0) > 0 THEN 1.0-CAST(coalesce(nab.n,0) AS DOUBLE)/na.n WHEN coalesce(nb.n,0) > 0 THEN 0.0 END AS l FROM same LEFT JOIN na USING (model, item_id) LEFT JOIN nb USING (model, item_id) LEFT JOIN nab USING (model, item_id)),
@@ -777,7 +796,8 @@ def d08(spark, sf):
  SELECT model, round(floor,6) AS floor, CASE WHEN abs(e-s) <= greatest(floor, 0.02) THEN 'C' WHEN c <= floor + 0.05 THEN 'B' ELSE 'A' END AS verdict FROM w JOIN fl USING (model)""")
 def a08(spark, sf):
     p = presence(spark, sf)
-    same = X.items(spark, sf).where("item_id % 9 = 0")
+    t = X.order_texts(spark, sf).where("cand_idx = 0")
+    same = t.where(T.normalize_text("plan_text") == T.normalize_text("asr1")).select(*ITEM).distinct()
     floor = M.noise_floor(p, same).select("model", "floor")
     return M.verdict(M.decomposition(p, observed_flags(spark, sf)), floor).select("model", r6(F.col("floor")).alias("floor"), "verdict")
 
@@ -819,14 +839,23 @@ def r01(spark, sf):
 
 @query("r02_selection_mart", with_fx(*FXT, extra={**TEXT_CTE,
     "f": "SELECT model, evaluator, avg(base_gap) AS original, avg(random_gap) AS random, avg(fact_consistency_gap) AS consistency, avg(plan_text_gap) AS plan_text, avg(plan_guided_gap) AS plan_fact, avg(oracle_gap) AS oracle, count(*) AS n FROM picks GROUP BY ALL",
-    "st": "SELECT model, evaluator, count(*) AS n_strict, avg(base_gap - plan_guided_gap) AS strict_reduction FROM picks WHERE item_id % 3 = 0 GROUP BY ALL"})
- + "SELECT f.model, max(n) AS n_items, " + ", ".join(f"round(avg({m}),6) AS {m}" for m in ("original", "random", "consistency", "plan_text", "plan_fact", "oracle"))
- + ", max(n_strict) AS n_identical, " + ", ".join(f"round(max(strict_reduction) FILTER (f.evaluator='{v}'),6) AS reduction_{v}" for v in VIEWS) + " FROM f LEFT JOIN st ON st.model=f.model AND st.evaluator=f.evaluator GROUP BY f.model")
+    "same": f"SELECT model, item_id FROM ({RETOLD}) GROUP BY model, item_id HAVING bool_and(trim(text) = trim(plan_text))",
+    "sp": "SELECT * FROM picks SEMI JOIN same USING (model, item_id)",
+    **sql_paired("sp", "model", "item_id", "evaluator", list(VIEWS), {"reduction": "base_gap - plan_guided_gap"}, B1, 23),
+    "st": "SELECT model, evaluator, count(*) AS n_strict, avg(base_gap - plan_guided_gap) AS strict_reduction FROM sp GROUP BY ALL",
+    "ci": "SELECT model, " + ", ".join(f"round(max({c}) FILTER (evaluator='{v}'),6) AS reduction_{v}_{c}" for v in VIEWS for c in ("ci_lo", "ci_hi"))
+          + ", " + ", ".join(f"max(excludes_zero) FILTER (evaluator='{v}') AS reduction_{v}_excludes_zero" for v in VIEWS) + " FROM pci GROUP BY model",
+    "mt": "SELECT f.model, max(n) AS n_items, " + ", ".join(f"round(avg({m}),6) AS {m}" for m in ("original", "random", "consistency", "plan_text", "plan_fact", "oracle"))
+          + ", max(n_strict) AS n_identical, " + ", ".join(f"round(max(strict_reduction) FILTER (f.evaluator='{v}'),6) AS reduction_{v}" for v in VIEWS)
+          + " FROM f LEFT JOIN st ON st.model=f.model AND st.evaluator=f.evaluator GROUP BY f.model"})
+ + "SELECT * FROM mt LEFT JOIN ci USING (model)")
 def r02(spark, sf):
-    picks = S.select_folds(text_counts(spark, sf), METHODS)
-    strict = X.items(spark, sf).where("item_id % 3 = 0")
+    picks = materialise(S.select_folds(text_counts(spark, sf), METHODS))
+    strict = materialise(j10(spark, sf))
     out = R.selection_mart(picks, strict)
-    return rounded(out, [c for c in out.columns if c not in ("model", "n_items", "n_identical")])
+    ci = R.strict_intervals(picks, strict, replicates=B1, seed=23).withColumn("statistic", F.concat(F.lit("reduction_"), "evaluator"))
+    out = rounded(out, [c for c in out.columns if c not in ("model", "n_items", "n_identical")])
+    return out.join(wide(ci, ["model"], [f"reduction_{v}" for v in VIEWS]), ["model"], "left")
 
 
 @query("r03_budget_mart", with_fx(*FXC, extra={**sql_counts(), "bc": "SELECT c.*, b.budget FROM cands c JOIN (VALUES (1),(2),(4),(8)) b(budget) ON c.cand_idx < b.budget", **sql_folds(["plan_guided"], "model, item_id, budget", "bc"),

@@ -15,6 +15,7 @@ from factrail.plans import metrics as M
 from factrail.plans.catalog_paths import CONTRAST_SQL, observed, presence, sql_item_counts
 from factrail.plans.oracle_fixtures import with_fx
 from factrail.plans.registry import query
+from factrail.session import materialise
 
 HASH = "CAST(('0x' || substr(md5({0}), 1, 15)) AS BIGINT)"
 
@@ -107,12 +108,6 @@ def rounded(df, names):
     return df.select(*[r6(F.col(c)).alias(c) if c in names else c for c in df.columns])
 
 
-@query("w04_fold_summary", with_fx(*FXC, extra={**sql_counts(), **sql_folds(["plan_guided"])})
-       + f"SELECT model, evaluator, {SUMMARY.format(m='plan_guided')} FROM picks GROUP BY model, evaluator")
-def w04(spark, sf):
-    return rounded(S.fold_summary(S.select_folds(counts(spark, sf)), ["model"]), SUM_COLS)
-
-
 @query("w05_budget_curve", with_fx(*FXC, extra={**sql_counts(),
        "bc": "SELECT c.*, b.budget FROM cands c JOIN (VALUES (1),(2),(4),(8)) b(budget) ON c.cand_idx < b.budget",
        **sql_folds(["plan_guided"], "model, item_id, budget", "bc")})
@@ -227,8 +222,32 @@ def sql_joint(items: str, group: str, ratios: dict[str, tuple[str, str | None]],
     return parts
 
 
-def sql_wide(tag: str, names: dict[str, str]) -> str:
-    return ", ".join(f"max({c}) FILTER (statistic = '{k}') AS {name}_{c}" for k, name in names.items() for c in ("ci_lo", "ci_hi", "excludes_zero"))
+def sql_paired(rows: str, group: str, unit: str, fold: str, folds: list[str], values: dict[str, str], replicates: int, seed: int, *,
+               sparse: tuple = (), rule: str = "linear", tag: str = "") -> dict[str, str]:
+    """pci<tag>: (group, fold, statistic, mean, interval), the twin of ``paired_intervals``."""
+    columns, ratios = [], {}
+    for i, f in enumerate(folds):
+        columns.append(f"count(*) FILTER ({fold} = '{f}')::DOUBLE AS n{i}")
+        for name, x in values.items():
+            columns.append(f"max({x}) FILTER ({fold} = '{f}') AS {name}{i}")
+            if name in sparse:
+                columns.append(f"count({x}) FILTER ({fold} = '{f}')::DOUBLE AS n_{name}{i}")
+            ratios[f"{name}:{f}"] = (f"{name}{i}", f"n_{name}{i}" if name in sparse else f"n{i}")
+    return {f"wide{tag}": f"SELECT {group}, {unit}, {', '.join(columns)} FROM {rows} GROUP BY {group}, {unit}",
+            **sql_joint(f"wide{tag}", group, ratios, replicates, seed, rule=rule, tag=tag),
+            f"pci{tag}": f"SELECT {group}, split_part(statistic, ':', 2) AS {fold}, split_part(statistic, ':', 1) AS statistic, mean, ci_lo, ci_hi, n_boot, excludes_zero FROM jci{tag} WHERE mean IS NOT NULL"}
+
+
+def sql_wide(names: list[str]) -> str:
+    """Interval columns per statistic, rounded as the reports are."""
+    r = {"ci_lo": "round({}, 6)", "ci_hi": "round({}, 6)", "excludes_zero": "{}"}
+    return ", ".join(r[c].format(f"max({c}) FILTER (statistic = '{k}')") + f" AS {k}_{c}" for k in names for c in r)
+
+
+def wide(intervals, group, names):
+    """``wide_intervals`` rounded as the reports are."""
+    w = B.wide_intervals(intervals, group, names)
+    return rounded(w, [c for c in w.columns if c.endswith(("_ci_lo", "_ci_hi"))])
 
 
 NEAREST = """SELECT {g}, max(x) FILTER (i = lo) AS ci_lo, max(x) FILTER (i = hi) AS ci_hi, max(n) AS n_boot FROM (
@@ -283,26 +302,30 @@ OUTCOMES = """count(*) AS n_items, round(avg(x),6) AS mean, count(*) FILTER (x >
 MEAN_COLS = ["mean", "ci_lo", "ci_hi"]
 
 
-def _mean_sql(ci: str) -> str:
+def _mean_sql(rule: str) -> str:
     g = "model, evaluator"
-    return (with_fx(*FXC, extra={**GAIN_CTE, **sql_slots("gains", g, ["n_up", "k", "x"], B1, 11),
-            "draws": f"SELECT {g}, b, avg(x) AS x FROM drawn GROUP BY {g}, b", "ci": ci.format(g=g),
+    return (with_fx(*FXC, extra={**GAIN_CTE, **sql_paired("gains", "model", "item_id", "evaluator", list(VIEWS), {"gain": "x"}, B1, 11, rule=rule),
             "pt": f"SELECT {g}, {OUTCOMES} FROM gains GROUP BY {g}"})
-            + "SELECT pt.*, round(ci_lo,6) AS ci_lo, round(ci_hi,6) AS ci_hi, n_boot, ci_lo > 0 OR ci_hi < 0 AS excludes_zero FROM pt JOIN ci USING (model, evaluator)")
+            + "SELECT pt.*, round(ci_lo,6) AS ci_lo, round(ci_hi,6) AS ci_hi, n_boot, excludes_zero FROM pt JOIN pci USING (model, evaluator)")
 
 
 LINEAR = "SELECT {g}, quantile_cont(x, 0.025) AS ci_lo, quantile_cont(x, 0.975) AS ci_hi, count(*) AS n_boot FROM draws GROUP BY {g}"
 
 
-@query("b02_bootstrap_mean", _mean_sql(NEAREST))
+def _means(spark, sf, rule):
+    g, x = materialise(gains(spark, sf)), F.col("k").cast("double") / F.col("n_up").cast("double")
+    ci = B.paired_intervals(g, ["model"], ["item_id"], "evaluator", VIEWS, {"gain": x}, replicates=B1, seed=11, rule=rule).drop("statistic")
+    return rounded(B.outcomes(g, ["model", "evaluator"], x).join(ci, ["model", "evaluator"]), MEAN_COLS)
+
+
+@query("b02_bootstrap_mean", _mean_sql("nearest"))
 def b02(spark, sf):
-    return rounded(B.bootstrap_mean(gains(spark, sf), ["model", "evaluator"], "k", "n_up", replicates=B1, seed=11, method="slots"), MEAN_COLS)
+    return _means(spark, sf, "nearest")
 
 
-@query("b03_bootstrap_linear", _mean_sql(LINEAR))
+@query("b03_bootstrap_linear", _mean_sql("linear"))
 def b03(spark, sf):
-    return rounded(B.bootstrap_mean(gains(spark, sf), ["model", "evaluator"], "k", "n_up", replicates=B1, seed=11,
-                                    method="slots", rule="linear"), MEAN_COLS)
+    return _means(spark, sf, "linear")
 
 
 @query("b03_reduction_intervals")
@@ -310,6 +333,18 @@ def b03m(spark, sf):
     return rounded(B.bootstrap_mean(gains(spark, sf), ["model", "evaluator"], "k", "n_up", method="multinomial", rule="linear"), MEAN_COLS)
 
 
+@query("w04_fold_summary", with_fx(*FXC, extra={**sql_counts(), **sql_folds(["plan_guided"]),
+       **sql_paired("picks", "model", "item_id", "evaluator", list(VIEWS), {"reduction": "base_gap - plan_guided_gap"}, B1, 13, rule="nearest"),
+       "sm": f"SELECT model, evaluator, {SUMMARY.format(m='plan_guided')} FROM picks GROUP BY model, evaluator",
+       "ci": f"SELECT model, evaluator, {sql_wide(['reduction'])} FROM pci GROUP BY model, evaluator"})
+       + "SELECT * FROM sm JOIN ci USING (model, evaluator)")
+def w04(spark, sf):
+    picks = materialise(S.select_folds(counts(spark, sf)))
+    ci = B.paired_intervals(picks, ["model"], ["item_id"], "evaluator", VIEWS, {"reduction": F.col("base_gap") - F.col("plan_guided_gap")},
+                            replicates=B1, seed=13, rule="nearest")
+    return rounded(S.fold_summary(picks, ["model"]), SUM_COLS).join(wide(ci, ["model", "evaluator"], ["reduction"]), ["model", "evaluator"])
+
+
 # Facts that never or always survive, with a relative position in thousandths.
 POSITIONS = """SELECT model, type || item_id || '-' || value AS rid, survival = 0 AS never, (item_id * 131 + CAST(value AS BIGINT) * 17) % 1000 AS pos
  FROM alive WHERE survival = 0 OR survival = 8"""

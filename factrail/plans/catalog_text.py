@@ -369,8 +369,7 @@ def k07(spark, sf):
 
 @query("k07_drop_intervals")
 def k07b(spark, sf):
-    rows = TK.answer_drops(drop_rows(spark, sf), ["dataset"], "asr1")
-    return B.bootstrap_mean(rows, ["dataset"], "k", "one")
+    return TK.drop_intervals(drop_rows(spark, sf), ["dataset"], method="multinomial")
 
 
 # ---- from texts to metrics -----------------------------------------------------------------
