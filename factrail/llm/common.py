@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import uuid
 
-import factrail
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factrail.session import checkpoint_dir, materialise, parallelism
+from factrail.session import checkpoint_dir, materialise, parallelism, ship
 
 __all__ = ["ASCII_UPPER", "ASCII_LOWER", "checkpoint_dir", "components", "documents", "gathered", "held_out", "lower_ascii", "materialise", "parallelism", "ship", "stored"]
 
@@ -19,19 +15,6 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, wherever they run; once per application."""
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        _SHIPPED.add(context.applicationId)
-        root = os.path.dirname(os.path.abspath(factrail.__file__))
-        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "factrail"), "zip", os.path.dirname(root), os.path.basename(root))
-        context.addPyFile(archive)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factrail.llm import exact_dedup, fingerprints, jaccard_join, langid, mixing, packing, pii, token_output, toxicity, url_filter
+from factrail.llm import alignment, exact_dedup, filter_audit, fingerprints, jaccard_join, langid, mixing, packing, pii, simhash, token_output, toxicity, url_filter
 from factrail.llm.common import ASCII_LOWER, ASCII_UPPER, documents, ship
 
 QUERIES: dict = {}
@@ -130,6 +130,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(documents(spark, sf_dir))
 
 
+@query("op11_simhash_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_classes(documents(spark, sf_dir))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(documents(spark, sf_dir))
+
+
+def _audit_sql() -> str:
+    letters = "(VALUES ('A'), ('B'), ('C'), ('D'), ('E'))"
+    orders = " CROSS JOIN ".join(f"{letters} l{i}(f{i})" for i in range(5))
+    word = r"[^\x20\x09-\x0D]+"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, coalesce(doc_id, 9223372036854775807) AS id FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '{word}') AS words, id > min(id) OVER (PARTITION BY t) AS again FROM d),
+g AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             CASE WHEN len(words) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN again THEN 'E' ELSE '' END AS fails
+      FROM w LEFT JOIN g USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM m GROUP BY ALL),
+o AS (SELECT f0 || f1 || f2 || f3 || f4 AS filter_order FROM {orders} WHERE len(list_distinct([f0, f1, f2, f3, f4])) = 5),
+x AS (SELECT c.*, filter_order, coalesce(list_min(list_transform(string_split(nullif(fails, ''), ''), lambda f: strpos(filter_order, f))), 9) AS out FROM c CROSS JOIN o),
+s AS (SELECT part, filter_order, CAST(step AS INT) AS step, substr(filter_order, CAST(step AS BIGINT), 1) AS f, fails, out, n, n_good, n_toxic FROM x CROSS JOIN (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, f, CAST(coalesce(sum(n) FILTER (out > step), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (out = step), 0) AS BIGINT) AS removed,
+             CAST(coalesce(sum(n) FILTER (out < step AND contains(fails, f)), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = f), 0) AS BIGINT) AS unique_fails,
+             CAST(coalesce(sum(n_good) FILTER (out = step), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n_toxic) FILTER (out = step), 0) AS BIGINT) AS toxic_lost FROM s GROUP BY ALL)
+SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""
+
+
+@query("op13_filter_audit", _audit_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

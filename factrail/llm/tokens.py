@@ -4,7 +4,8 @@ The byte-level pre-tokenizer never joins what stands on both sides of (a) a word
 (b) an ASCII letter and ASCII punctuation other than the apostrophe, so a text's ids are the ids of the chunks between such
 places, in order. Natural text repeats its chunks, so each Python worker encodes a chunk once and takes repeats from a
 direct-mapped table of fixed size. Nothing else of the text matters to a chunk's ids, and no text is cut short.
-Strings of special tokens in a text are ordinary text.
+Strings of special tokens in a text are chunks of their own and get the special id, as the library's plain call gives it;
+with ``plain`` they are ordinary text.
 """
 
 from __future__ import annotations
@@ -63,12 +64,13 @@ class Encoder:
 
     current: tuple[str, Encoder] | None = None
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab()
         self.blank = np.zeros(max(names.values()) + 1, bool)
         self.blank[[i for name, i in names.items() if name[0] in "\u0120\u010a"]] = True
@@ -79,12 +81,33 @@ class Encoder:
         self.used = 0
 
     @classmethod
-    def of(cls, query: str, vocabulary: str) -> Encoder:
+    def of(cls, query: str, vocabulary: str, plain: bool = False) -> Encoder:
         if cls.current is None or cls.current[0] != query:
             cls.current = None
-            cls.current = (query, cls(vocabulary))
+            cls.current = (query, cls(vocabulary, plain))
         return cls.current[1]
 
+    def _starts(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Chunk starts with every special token of a row as a chunk of its own; of two that overlap, the earlier counts."""
+        starts = chunk_starts(offsets, data)
+        raw = data.tobytes() if self.special else b""
+        found = []
+        for name in self.special:
+            at = raw.find(name)
+            while at >= 0:
+                found.append((at, at + len(name)))
+                at = raw.find(name, at + 1)
+        if not found:
+            return starts
+        cuts, reach = [], 0
+        for lo, hi in sorted(found):
+            inside = np.searchsorted(offsets, lo, side="right") == np.searchsorted(offsets, hi, side="left")
+            if lo >= reach and inside:
+                starts = starts[(starts < lo) | (starts >= hi)]
+                cuts += [lo, hi] if hi < len(data) else [lo]
+                reach = hi
+        return np.union1d(starts, np.array(cuts, starts.dtype))
+
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -135,7 +158,7 @@ class Encoder:
     def block(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each row)."""
         rows = len(offsets) - 1
-        starts = chunk_starts(offsets, data)
+        starts = self._starts(offsets, data)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(rows, np.int64)
         ends = np.append(starts[1:], len(data))
@@ -168,6 +191,19 @@ class Encoder:
         return out, np.bincount(row, weights=length, minlength=rows).astype(np.int64)
 
 
+def byte_entries(tokenizer) -> list[bytes]:
+    """The bytes of every id of a byte-level vocabulary: printable Latin-1 stands for itself, the other bytes, in order, for
+    the code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    names = tokenizer.get_vocab()
+    out = [b""] * (max(names.values()) + 1)
+    for name, i in names.items():
+        out[i] = bytes(of[c] for c in name)
+    return out
+
+
 def ended_rows(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Appends end_id to every row; (ids, row boundaries)."""
     bounds = np.concatenate(([0], np.cumsum(counts + 1)))
