@@ -22,8 +22,15 @@ def numbers_sql(s: str) -> str:
 
 
 def units_sql(s: str, min_unit_len: int = 1) -> str:
-    """Unit facts; the percent sign counts without word boundaries. Short forms can be left out."""
-    forms = f"transform({T.all_matches(s, '(?i)' + L.UNIT)}, u -> lower(u))"
+    """Unit facts; the percent sign counts without word boundaries. Short forms can be left out.
+
+    A form of one word is a whole run of word characters, so one tokenisation and a hashed intersection find all of them; only
+    a text that holds a form of several words or with a mark is scanned for the longest form at each place.
+    """
+    single = [u for u in L.UNIT_OF if u.isascii() and u.isalpha()]
+    several = " OR ".join(f"contains(l, {T.q(u)})" for u in L.UNIT_OF if u.isascii() and not u.isalpha() and u != "%")
+    forms = T.let("l", f"lower({s})", (
+        f"CASE WHEN {several} THEN {T.all_matches('l', L.UNIT)} ELSE array_intersect(split(l, '[^a-z0-9_]+'), {T.q_array(single)}) END"))
     if min_unit_len > 1:
         forms = f"filter({forms}, u -> length(u) >= {min_unit_len})"
     values = (
@@ -105,9 +112,10 @@ def facts_long(df: DataFrame, keys: list[str], facts: str = "facts", *, distinct
     """One row per fact; a missing polarity is '+'.
 
     ``distinct=False`` saves the shuffle where keys are unique and every array is free of repeats,
-    as ``extract_facts`` leaves it.
+    as ``extract_facts`` leaves it. The outer form with a test of its element keeps the optimizer from inferring a
+    filter on the array, which would compute the whole extraction once more below.
     """
-    rows = df.select(*keys, F.explode(facts).alias("f"))
+    rows = df.select(*keys, F.explode_outer(facts).alias("f")).where("f IS NOT NULL")
     out = rows.select(*keys, "f.type", "f.value", F.coalesce("f.polarity", F.lit("+")).alias("polarity"))
     return out.distinct() if distinct else out
 

@@ -19,6 +19,7 @@ from factrail.plans import metrics as M
 from factrail.plans import oracle_text as O
 from factrail.plans.oracle_fixtures import with_fx
 from factrail.plans.registry import query
+from factrail.session import spread
 
 TEXTS_SQL = """SELECT item_id, text FROM fx_text UNION ALL SELECT 'd' || doc_id, text FROM documents
  UNION ALL SELECT 'c' || conv_id || ':' || turn, text FROM conversations"""
@@ -30,7 +31,7 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     docs = FX.table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("item_id"), "text")
     turns = FX.table(spark, sf, "conversations").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("item_id"), "text")
-    return FX.sentences(spark, sf).unionByName(docs).unionByName(turns)
+    return FX.sentences(spark, sf).unionByName(spread(docs)).unionByName(spread(turns))
 
 
 @query("t01_normalise", with_fx("fx_text", extra=TEXTS) + f"""SELECT item_id, md5(n) AS normal_md5, CAST(length(n) AS BIGINT) AS n_chars FROM (

@@ -52,6 +52,13 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan dealt to all cores where its files hold fewer splits than that, for stages that compute much per row;
+    a scan with splits enough is left as it is."""
+    wanted = parallelism(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 _SHIPPED: set[str] = set()
 
 
