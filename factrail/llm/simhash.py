@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from factrail.llm.common import components, materialise, stored
+from factrail.llm.common import components, materialise, parallelism, stored
 
 WIDTH = 4
 SEED = 42
@@ -119,6 +119,7 @@ def _free_patterns(choice: Column) -> Column:
 
 def links(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
     """(a, b): links of distinct fingerprints that connect exactly what all links within BITS bits connect."""
+    nodes = nodes.repartition(parallelism(nodes.sparkSession), "fp")
     lists = index_entries(nodes).groupBy("choice", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lead")).where("n > 1")
     members = stored(index_entries(nodes).join(lists, ["choice", "bytes"]))
     least = members.where((F.col("fp") != F.col("lead")) & _near(F.col("fp"), F.col("lead"))).select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct()
