@@ -32,6 +32,9 @@ from factrail.llm.tokens import Encoder, byte_entries, default_vocabulary
 
 #: Pairs that are broadcast at most (16 MB of keys and counts).
 HEAD = 1 << 20
+#: Chunks that a worker remembers, and the size of the row groups it writes: both only bound its memory.
+SLOTS = 1 << 20
+ROW_GROUP_BYTES = 16 << 20
 ROWS_DDL = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, links array<bigint>"
 _ROWS = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
                    ("groups_sha256", pa.string()), ("links", pa.list_(pa.int64()))])
@@ -137,7 +140,7 @@ def _described(ids: np.ndarray, sides: np.ndarray, group: np.ndarray, row: np.nd
 
 def _aligned(query: str, vocabulary: str, model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pieces = Encoder.of(query, vocabulary, plain=True), Pieces.of(query, model)
+        encoder, pieces = Encoder.of(query, vocabulary, plain=True, slots=SLOTS), Pieces.of(query, model)
         left, right = Entries(byte_entries(encoder.tokenizer)), pieces.entries
         for batch in batches:
             text = batch.column(1).cast(pa.large_string())
@@ -198,7 +201,7 @@ def threshold(pairs: DataFrame, head: int = HEAD) -> int:
 
 def alignment(docs: DataFrame, vocabulary: str | None = None, model: str | None = None, head: int = HEAD) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    rows = stored(aligned(docs, vocabulary, model).withColumn("row_", F.monotonically_increasing_id()))
+    rows = stored(aligned(docs, vocabulary, model).withColumn("row_", F.monotonically_increasing_id()), {"parquet.block.size": ROW_GROUP_BYTES})
     links = rows.select("row_", F.explode("links").alias("key"))
     pairs = materialise(pair_counts(links))
     least = threshold(pairs, head)

@@ -29,11 +29,11 @@ def lower_ascii(column):
     return F.translate(F.coalesce(column, F.lit("")), ASCII_UPPER, ASCII_LOWER)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, options: dict | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there and lost executors do not matter."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,7 +19,8 @@ import numpy as np
 from factrail.llm.blocks import hash_spans
 
 SLOTS = 1 << 22
-POOL_IDS = 1 << 24
+#: Remembered ids for each slot.
+POOL = 4
 #: Longer chunks are encoded each time and not remembered.
 REMEMBERED_BYTES = 64
 RUN = 1000
@@ -64,7 +65,7 @@ class Encoder:
 
     current: tuple[str, Encoder] | None = None
 
-    def __init__(self, vocabulary: str, plain: bool = False):
+    def __init__(self, vocabulary: str, plain: bool = False, slots: int = SLOTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,17 +75,18 @@ class Encoder:
         names = self.tokenizer.get_vocab()
         self.blank = np.zeros(max(names.values()) + 1, bool)
         self.blank[[i for name, i in names.items() if name[0] in "\u0120\u010a"]] = True
-        self.keys = np.zeros(SLOTS, np.uint64)
-        self.at = np.zeros(SLOTS, np.int32)
-        self.length = np.zeros(SLOTS, np.int32)
+        self.slots = slots
+        self.keys = np.zeros(slots, np.uint64)
+        self.at = np.zeros(slots, np.int32)
+        self.length = np.zeros(slots, np.int32)
         self.pool = np.zeros(1 << 20, np.int32)
         self.used = 0
 
     @classmethod
-    def of(cls, query: str, vocabulary: str, plain: bool = False) -> Encoder:
+    def of(cls, query: str, vocabulary: str, plain: bool = False, slots: int = SLOTS) -> Encoder:
         if cls.current is None or cls.current[0] != query:
             cls.current = None
-            cls.current = (query, cls(vocabulary, plain))
+            cls.current = (query, cls(vocabulary, plain, slots))
         return cls.current[1]
 
     def _starts(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -145,7 +147,7 @@ class Encoder:
         return out, lengths
 
     def _remember(self, ids: np.ndarray) -> int:
-        if self.used + len(ids) > POOL_IDS:
+        if self.used + len(ids) > POOL * self.slots:
             self.keys[:] = 0
             self.used = 0
         while self.used + len(ids) > len(self.pool):
@@ -164,7 +166,7 @@ class Encoder:
         ends = np.append(starts[1:], len(data))
         row = np.searchsorted(offsets, starts, side="right") - 1
         h = hash_spans(data, starts, ends, fold=False)
-        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
         hit = self.keys[slot] == h
         at = self.at[slot].astype(np.int64)
         length = self.length[slot].astype(np.int64)
