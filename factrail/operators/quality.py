@@ -174,6 +174,12 @@ def number_mentions(lines: DataFrame, text: str = "value", line: str = "line") -
     return lines.select(line, F.explode(found).alias("value")).distinct()
 
 
+def unlisted(mentions: DataFrame, allowed: DataFrame, value: str = "value") -> DataFrame:
+    """Distinct mentioned values that the whitelist does not hold; a NULL in either is no value."""
+    listed = allowed.select(value).where(F.col(value).isNotNull()).distinct()
+    return mentions.select(value).where(F.col(value).isNotNull()).distinct().join(listed, value, "left_anti")
+
+
 def emission(records: DataFrame, minimum: float = 0.5) -> DataFrame:
     """(model): speech rows, those longer than the minimum, and whether all are."""
     r = records.where("audio IS NOT NULL AND coalesce(error, '') = ''")

@@ -447,12 +447,11 @@ def a24(spark, sf):
 @query("a25_structural_targets", with_fx("fx_plan", "fx_candidates", extra=ALIVE)
        + "SELECT model, item_id, type, value, polarity, type || ':' || value AS target FROM alive WHERE survival = 0")
 def a25(spark, sf):
-    return alive(spark, sf).where("survival = 0").select(
-        *ITEM, "type", "value", "polarity", F.concat_ws(":", "type", "value").alias("target"))
+    return M.structural_targets(alive(spark, sf))
 
 
 @query("a26_rewrite_judgement", with_fx("fx_plan", "fx_candidates", extra={**ALIVE,
-    "t": "SELECT * FROM alive WHERE survival <= 2",
+    "t": "SELECT * FROM alive WHERE survival = 0",
     "hits": """SELECT t.model, t.item_id, t.type, t.value, t.polarity, count(DISTINCT c.cand_idx) FILTER (c.view='asr2') AS orig, count(DISTINCT c.cand_idx) FILTER (c.view='asr3') AS rewrite
  FROM t LEFT JOIN fx_candidates c ON c.model=t.model AND c.item_id=t.item_id AND c.type=t.type AND c.value=t.value AND c.polarity=t.polarity GROUP BY ALL"""})
  + """SELECT model, type, count(*) AS n_facts, CAST(sum(orig) AS BIGINT) AS orig, CAST(sum(rewrite) AS BIGINT) AS rewrite, count(*)*8 AS n_orig, count(*)*8 AS n_rewrite,
@@ -462,7 +461,7 @@ def a26(spark, sf):
     variant = F.when(F.col("view") == "asr2", "ORIG").when(F.col("view") == "asr3", "REWRITE")
     facts = X.candidate_facts(spark, sf).withColumn("variant", variant).where("variant IS NOT NULL").withColumnRenamed("cand_idx", "sample")
     readings = P.dimension(X.candidate_grid(spark, sf).withColumnRenamed("cand_idx", "sample"), "variant", ["ORIG", "REWRITE"])
-    return M.judge_rewrite(alive(spark, sf).where("survival <= 2"), readings, facts)
+    return M.judge_rewrite(M.structural_targets(alive(spark, sf)), readings, facts)
 
 
 @query("j15_gold_comparison", with_fx("fx_plan", "fx_candidates", "fx_items", extra={

@@ -361,13 +361,13 @@ def j13(spark, sf):
 
 
 @query("j16_plan_fallback", with_fx("fx_facts", "fx_items", extra={
-    "a": "SELECT DISTINCT model, item_id, type, value, polarity FROM fx_facts WHERE condition='SPEAK' AND view='internal' AND item_id % 3 = 0",
+    "a": "SELECT DISTINCT model, item_id, type, value, polarity FROM fx_facts WHERE condition='SPEAK' AND view='internal'",
     "b": "SELECT DISTINCT model, item_id, type, value, polarity FROM fx_facts WHERE condition='READ' AND view='text'",
     "k": "SELECT DISTINCT model, item_id FROM a"})
  + "SELECT 'resample' AS source, model, type, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT 'main', model, type, count(*) FROM b ANTI JOIN k USING (model, item_id) GROUP BY ALL")
 def j16(spark, sf):
     f = X.facts(spark, sf).distinct()
-    a = f.where("condition = 'SPEAK' AND view = 'internal' AND item_id % 3 = 0").select(*ITEM, *P.FACT_KEY)
+    a = f.where("condition = 'SPEAK' AND view = 'internal'").select(*ITEM, *P.FACT_KEY)
     b = f.where("condition = 'READ' AND view = 'text'").select(*ITEM, *P.FACT_KEY)
     return U.plan_fallback(b, a, X.items(spark, sf), list(ITEM)).groupBy("source", "model", "type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -396,12 +396,11 @@ def d10(spark, sf):
 
 
 @query("j12_whitelist", with_fx("fx_text", extra={"x": r"SELECT DISTINCT unnest(regexp_extract_all(' ' || text || ' ', '[^A-Za-z0-9_.]([0-9]+\.[0-9]+)[^A-Za-z0-9_]', 1)) AS value FROM fx_text",
-    "w": "SELECT DISTINCT CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.5' AS value FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 20"}) + "SELECT value FROM x WHERE value NOT IN (SELECT value FROM w)")
+    "w": "SELECT DISTINCT CAST(n_nationkey AS VARCHAR) || '.5' AS value FROM nation"}) + "SELECT value FROM x WHERE value NOT IN (SELECT value FROM w)")
 def j12(spark, sf):
-    found = D.number_mentions(X.sentences(spark, sf), "text", "item_id").select("value").distinct()
-    allowed = X.table(spark, sf, "lineitem").where("l_linenumber = 1 AND l_quantity < 20").select(
-        F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(".5")).alias("value")).distinct()
-    return found.join(allowed, "value", "left_anti")
+    found = D.number_mentions(X.sentences(spark, sf), "text", "item_id")
+    allowed = X.table(spark, sf, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".5")).alias("value"))
+    return D.unlisted(found, allowed)
 
 
 # ---- selection with texts ------------------------------------------------------------------

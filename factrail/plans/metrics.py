@@ -265,6 +265,11 @@ def structural_floor(alive: DataFrame) -> DataFrame:
     ).select("*", ratio(F.col("never"), F.col("n")).alias("never_rate"), ratio(F.col("always"), F.col("n")).alias("always_rate"))
 
 
+def structural_targets(alive: DataFrame) -> DataFrame:
+    """Plan facts that no sample realised, with the (type:value) label that a rewrite of the item has to bring out."""
+    return alive.where("survival = 0").select(*ITEM, "type", "value", "polarity", F.concat_ws(":", "type", "value").alias("target"))
+
+
 def judge_rewrite(targets: DataFrame, readings: DataFrame, facts: DataFrame) -> DataFrame:
     """Survival of target facts in original and rewritten readings.
 

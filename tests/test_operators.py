@@ -278,3 +278,12 @@ def test_registered_draws(spark, name):
 
     rows = registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.n_boot == 10_000 if "n_boot" in r else 0 < r.p_value <= 1 for r in rows)
+
+
+def test_unlisted_values(spark):
+    from factrail.operators import quality
+
+    mentions = spark.createDataFrame([("1.5",), ("1.5",), ("2.5",), (None,), ("3.50",)], "value string")
+    allowed = spark.createDataFrame([("1.5",), ("3.5",), (None,)], "value string")
+    assert sorted(r.value for r in quality.unlisted(mentions, allowed).collect()) == ["2.5", "3.50"]
+    assert quality.unlisted(mentions, allowed.limit(0)).count() == 3 and quality.unlisted(mentions.limit(0), allowed).count() == 0
