@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factrail.llm.blocks import HASH_BITS, batches_of, mix, row_sums, shingle_sets, text_blocks
@@ -38,6 +38,13 @@ BITS = 1024
 SUBSET_COST = 16
 #: Pairs tested at once, per entry of the lists.
 PAIRS_PER_ENTRY = 64
+#: Earlier lists of a member that travel with each of its entries, so that a pair which met in one of them is not made again.
+EARLIER = 8
+#: Bits of the map of sets that are left, per set, and the bits that one row of it holds (a fixed size of Spark's bitmaps).
+MAP_BITS = 16
+ROW_BITS = 32768
+#: Rows of that map which are broadcast at most (4 KB each); with more, all texts go through the shuffle.
+MAP_ROWS = 16384
 
 
 def _limit(n: np.ndarray) -> np.ndarray:
@@ -256,6 +263,22 @@ def _possible(percent: int):
         F.greatest(F.col("near") - F.col("far_"), F.col("near_") - F.col("far")) <= 1 - percent / 100 + 1e-9)
 
 
+def _mapped(docs: DataFrame, alive: DataFrame, count: int) -> DataFrame:
+    """The rows of docs whose id may be among alive (first): all that are, and about one in MAP_BITS others. The map is made
+    by one aggregation and its size follows from the count; where it would exceed MAP_ROWS, docs is returned as it is."""
+    buckets = -(-count * MAP_BITS // ROW_BITS)
+    if not 0 < buckets <= MAP_ROWS:
+        return docs
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets * ROW_BITS))
+    bits = alive.select(place("first").alias("spot")).groupBy(F.floor(F.col("spot") / ROW_BITS).alias("bucket_")).agg(
+        F.bitmap_construct_agg(F.pmod("spot", F.lit(ROW_BITS))).alias("map_"))
+    spot = F.pmod(F.col("spot_"), F.lit(ROW_BITS)).cast("int")
+    octet = F.conv(F.hex(F.substring("map_", F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = docs.withColumn("spot_", place("doc_id")).withColumn("bucket_", F.floor(F.col("spot_") / ROW_BITS))
+    held = F.pmod(F.floor(octet / F.pow(F.lit(2), F.pmod(spot, F.lit(8)))), F.lit(2)) == 1
+    return marked.join(F.broadcast(bits), "bucket_").where(held).select(*docs.columns)
+
+
 def _linked_components(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, comp) of linked nodes, from the lists (key; node, n, held, at)."""
     member = ["node", "n", "held", "at", "near", "far"]
@@ -286,13 +309,21 @@ def _linked_components(entries: DataFrame, sets: DataFrame, percent: int) -> Dat
         if not rows:
             break
         light = (F.col("cross") <= PAIRS_PER_ENTRY * F.col("m")) & F.lit(turn > 0)
-        few, many = live.where(light), live.where(~light)
-        ordered = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-        crossing = few.join(few.select("key", *other), "key").where((F.col("comp") < F.col("there")) & fits).select(*ordered)
         # from the second turn on ever more members lead a long list
-        leads = many.where((F.col("node") == F.col("lead")) | (F.lit(turn > 0) & (
-            F.pmod(F.xxhash64("node", F.lit(turn)), F.col("m")) < F.lit(16 ** turn))))
-        against = many.join(leads.select("key", *other), "key").where((F.col("comp") != F.col("there")) & fits).select(*ordered)
+        first = (F.col("node") == F.col("lead")) | (F.lit(turn > 0) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.col("m")) < F.lit(16 ** turn)))
+        live = live.withColumns({"light": light, "leads": first})
+        fresh = F.lit(True)
+        if turn:
+            # two members that share an earlier list of this turn, led by one of them if it is long, met there or cannot link
+            before = Window.partitionBy("node", "light").orderBy("key").rowsBetween(-EARLIER, -1)
+            live = materialise(live.withColumns({"met": F.collect_list("key").over(before), "led": F.collect_list(F.when(F.col("leads"), F.col("key"))).over(before)}))
+            fresh = ~F.arrays_overlap("met", "met_")
+        few, many = live.where("light"), live.where("not light")
+        leads = many.where("leads")
+        ordered = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+        seen = lambda c: [F.col(c).alias("met_")] if turn else []
+        crossing = few.join(few.select("key", *other, *seen("met")), "key").where((F.col("comp") < F.col("there")) & fits & fresh).select(*ordered)
+        against = many.join(leads.select("key", *other, *seen("led")), "key").where((F.col("comp") != F.col("there")) & fits & fresh).select(*ordered)
         pairs = gathered(gathered(crossing, rows).unionByName(gathered(against, rows)).distinct(), rows)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -334,9 +365,9 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     seen = nodes.join(shared, "node", "left").fillna(0, ["shared"])
     alive = materialise(seen.where((F.col("n") > 2) & (F.col("shared") >= F.col("sampled") - (F.col("n") - need))).select("node", "first", "n"))
 
-    left = alive.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    left, count = alive.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     parts = max(parallelism(spark), int(left / ENTRIES) + 1)
-    rows = docs.join(alive.select(F.col("first").alias("doc_id"), "node"), "doc_id").select("node", "text")
+    rows = _mapped(docs, alive, count).join(alive.select(F.col("first").alias("doc_id"), "node"), "doc_id").select("node", "text")
     held = (rows.mapInArrow(_whole_entries(parts, width), _ENTRIES_DDL)
             .groupBy("part").applyInArrow(_frequencies(parts), "part int, nodes binary, hashes binary, counts binary")
             .groupBy("part").applyInArrow(_ordered(), "node bigint, held array<bigint>, reach array<bigint>, bits array<bigint>"))
