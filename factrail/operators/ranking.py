@@ -48,6 +48,29 @@ def average_ranks(counted: DataFrame, group: Sequence[str], value: str, weight:
     )
 
 
+def quantile(counted: DataFrame, group: Sequence[str], value: str, weight: str, share: float, out: str) -> DataFrame:
+    """(group, out): the exact quantile of the values, each counted ``weight`` times, between two neighbours by straight line.
+
+    Rows are unique by (group, value); NULL values don't count and a group without others has no row. Nothing is
+    buffered: the two values are those whose running totals hold the wanted places. ``group`` may be empty.
+    """
+    group = list(group)
+    known = counted.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*group, value, weight)
+    placed = materialise(running_totals(known, group, value, weight))
+    totals = placed.groupBy(*group).agg(F.sum(weight).alias("_total"))
+    if group:
+        placed = placed.join(totals, group)
+    else:
+        placed = placed.withColumn("_total", totals.select("_total").scalar())
+    place = (F.col("_total") - 1) * F.lit(share)
+    holds = lambda p: (F.col("before") <= p) & (p < F.col("before") + F.col(weight))
+    ends = placed.groupBy(*group).agg(
+        F.max(F.when(holds(F.floor(place)), F.col(value).cast("double"))).alias("_lo"),
+        F.max(F.when(holds(F.ceil(place)), F.col(value).cast("double"))).alias("_hi"), F.max(place - F.floor(place)).alias("_f"))
+    line = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((1 - F.col("_f")) * F.col("_lo") + F.col("_f") * F.col("_hi"))
+    return ends.where("_lo IS NOT NULL").select(*group, line.alias(out))
+
+
 def spearman(df: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
     """(group, n, rho) over rows where both values are known; NULL below 3 rows or without variance.
 

@@ -10,6 +10,7 @@ from factrail.functions import answers as K
 from factrail.functions import observation as O
 from factrail.functions.stats import ratio, wilson
 from factrail.operators.pairing import _count
+from factrail.operators.ranking import quantile
 
 SOURCES = ("internal", "asr1", "asr2", "asr3")
 
@@ -115,9 +116,10 @@ def duration_strata(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     acc = lambda s: F.avg(F.col(f"correct_{s}").cast("double"))
     agg = placed.groupBy(*keys, "stratum").agg(
         F.count(F.lit(1)).alias("n"), F.avg("duration").alias("mean_duration"), F.max("duration").alias("max_duration"),
-        F.percentile("duration", F.lit(0.5)).alias("median_duration"),
         *[acc(s).alias(f"accuracy_{s}") for s in SOURCES],
         *[(acc("internal") - acc(s)).alias(f"drop_{s}") for s in SOURCES[1:]])
+    counted = placed.groupBy(*keys, "stratum", "duration").agg(F.count(F.lit(1)).alias("_n"))
+    agg = agg.join(quantile(counted, [*keys, "stratum"], "duration", "_n", 0.5, "median_duration"), [*keys, "stratum"], "left")
     every = rows.select(*keys).distinct().withColumn("stratum", F.explode(F.array(*[F.lit(s) for s in STRATA])))
     return every.join(agg, [*keys, "stratum"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factrail.dims import FACT_TYPES, MODES, VIEWS, Pair, decomposition_pairs, planned, spoken
@@ -25,8 +27,9 @@ from factrail.plans.catalog_paths import (
 from factrail.plans.catalog_selection import B1, FXC, SUMMARY, counts, rounded, sql_counts, sql_folds, sql_paired, sql_wide, wide
 from factrail.plans.oracle_fixtures import FX, FX_VIEWS, with_fx
 from factrail.plans.registry import query
-from factrail.session import materialise, parallelism
+from factrail.session import checkpoint_dir, materialise, parallelism
 from factrail.sources import readers
+from factrail.sources.buckets import read_table, upsert_table
 
 # ---- channel states from the event table ---------------------------------------------------
 
@@ -305,7 +308,11 @@ def s07(spark, sf):
     s = X.sentences(spark, sf)
     old = s.where(F.length("text") % 3 != 0).select(F.col("item_id").alias("key"), "text", F.lit("old").alias("origin"))
     new = s.where(F.length("text") % 2 == 0).select(F.col("item_id").alias("key"), F.lower("text").alias("text"), F.lit("new").alias("origin"))
-    return MG.upsert(old, new, ["key"])
+    root = f"{checkpoint_dir(spark)}/cache-{uuid.uuid4().hex}"
+    put = lambda was, batch: batch if was is None else MG.upsert(was, batch, ["key"])
+    upsert_table(old, root, 1, ["key"], put)
+    upsert_table(new, root, 2, ["key"], put)
+    return read_table(spark, root)
 
 
 @query("s08_merge_shards", with_fx("fx_text") + "SELECT item_id, length(text) % 3 AS shard, CAST(length(text) AS BIGINT) AS n_chars FROM fx_text")
@@ -906,3 +913,27 @@ def d06b(spark, sf):
     from factrail.streaming import run
 
     return L.ledger(L.fold_batch(None, run.as_observations(X.table(spark, sf, "events"))))
+
+
+@query("d06_window_counts", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS channel, count(*) AS n, count(*) FILTER (event_id % 10 = 0) AS n_errors, round(sum(value), 4) AS sec
+ FROM events WHERE date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) GROUP BY ALL""")
+def d06w(spark, sf):
+    """Hourly counts that the stream has closed: windows of which the watermark, an hour behind the newest event, has passed the end."""
+    from factrail.streaming import run
+
+    w = run.replay_windows(spark, f"{sf}/events.parquet")
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "channel", "n", "n_errors", F.round("sec", 4).alias("sec"))
+
+
+LINES = "string_split(coalesce(text, ''), chr(10))"
+
+
+@query("d10_line_numbers", f"""SELECT row_number() OVER (ORDER BY doc_id, o) AS line, md5(v) AS line_md5 FROM (SELECT doc_id, unnest({LINES}) AS v, generate_subscripts({LINES}, 1) AS o FROM documents)""")
+def d10l(spark, sf):
+    """All documents as text files in order of their ids, read back with the number of every line over all files."""
+    from factrail.sources.readers import numbered_lines
+
+    folder = f"{checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    lines = X.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("o", "value"))
+    lines.repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "o").select("value").write.text(folder)
+    return numbered_lines(spark, folder).select("line", F.md5(F.col("value").cast("binary")).alias("line_md5"))

@@ -14,12 +14,13 @@ from factrail.operators import pairing as P
 from factrail.operators import resampling as B
 from factrail.operators import tasks as TK
 from factrail.operators.pairing import _count
+from factrail.operators.ranking import quantile
 from factrail.plans import fixtures as FX
 from factrail.plans import metrics as M
 from factrail.plans import oracle_text as O
 from factrail.plans.oracle_fixtures import with_fx
 from factrail.plans.registry import query
-from factrail.session import spread
+from factrail.session import materialise, spread
 
 TEXTS_SQL = """SELECT item_id, text FROM fx_text UNION ALL SELECT 'd' || doc_id, text FROM documents
  UNION ALL SELECT 'c' || conv_id || ':' || turn, text FROM conversations"""
@@ -215,9 +216,13 @@ def e01t(spark, sf):
 @query("a16_question_calibration", with_fx("fx_heard", extra={**NORMED, "w": f"SELECT {O.wer('text', 'asr3')} AS w FROM nm"})
        + "SELECT count(*) AS n_items, round(avg(w), 6) AS mean_wer, median(w) AS median_wer, round(avg(CASE WHEN w = 0 THEN 1.0 ELSE 0.0 END), 6) AS exact_rate FROM w WHERE w IS NOT NULL")
 def a16(spark, sf):
-    w = normed(spark, sf).select(E.wer("text", "asr3").alias("w")).where("w IS NOT NULL")
-    return w.agg(F.count(F.lit(1)).alias("n_items"), r6(F.avg("w")).alias("mean_wer"), F.percentile("w", F.lit(0.5)).alias("median_wer"),
-                 r6(F.avg((F.col("w") == 0).cast("double"))).alias("exact_rate"))
+    w = normed(spark, sf).select(E.wer("text", "asr3").alias("w"))
+    # a filter before this point would compute the rate a second time
+    cells = materialise(w.groupBy("w").agg(F.count(F.lit(1)).alias("c"))).where("w IS NOT NULL")
+    n = F.sum("c")
+    return cells.agg(F.coalesce(n, F.lit(0)).alias("n_items"), r6(ratio(F.sum(F.col("w") * F.col("c")), n)).alias("mean_wer"),
+                     r6(ratio(F.sum(F.when(F.col("w") == 0, F.col("c")).otherwise(0)), n)).alias("exact_rate")).withColumn(
+        "median_wer", quantile(cells, [], "w", "c", 0.5, "m").scalar())
 
 
 @query("a17_readback_summary", with_fx("fx_heard", extra={**NORMED,

@@ -12,6 +12,7 @@ from factrail.dims import (
 from factrail.functions.stats import ratio
 from factrail.operators import pairing as P
 from factrail.operators.pairing import ITEM, _count
+from factrail.session import materialise
 
 
 def headline(presence: DataFrame, observed: DataFrame, mode: str = "asr1") -> DataFrame:
@@ -332,12 +333,39 @@ def gate(headline_rows: DataFrame, *, hard_min: float = 0.05, ratio_min: float =
         .when((F.col("hard") > hard_min) & enough, "GO").otherwise("STOP"))
 
 
+def _texts_with_short(text: DataFrame, short: DataFrame, run: int = 8) -> tuple[DataFrame | None, int]:
+    """(doc_id, gold_id) of the texts (doc_id, body) that hold a short passage (gold_id, gold), and how many passages are empty.
+
+    Inverted index of runs of ``run`` characters, or of a whole passage that is shorter: only runs of passages keep their
+    texts, and a passage is looked for in the texts of its rarest run alone.
+    """
+    short = materialise(short.withColumn("q", F.least(F.char_length("gold"), F.lit(run))))
+    lengths = {r.q: r.n for r in short.groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most run + 1 rows
+    n_empty = lengths.pop(0, 0)
+    if not lengths:
+        return None, n_empty
+
+    def runs(chars, q):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - q + 1, F.lit(1)))
+        return F.transform(F.filter(starts, lambda i: i <= F.size(chars) - q + 1), lambda i: F.xxhash64(F.lit(q), F.slice(chars, i, q)))
+
+    chars = text.select("doc_id", F.split("body", "").alias("c"))
+    keyed = chars.select("doc_id", F.explode(F.array_distinct(F.concat(*[runs(F.col("c"), q) for q in sorted(lengths)]))).alias("key"))
+    own = F.coalesce(*[F.when(F.col("q") == q, runs(F.split("gold", ""), q)) for q in sorted(lengths)])
+    asked = short.where("q > 0").select("gold_id", "gold", F.explode(F.array_distinct(own)).alias("key"))
+    hits = materialise(keyed.join(asked.select("key").distinct(), "key"))
+    often = asked.join(hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", "left")
+    rarest = often.groupBy("gold_id", "gold").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
+    pairs = hits.join(rarest, "key").select("doc_id", "gold_id", "gold").distinct()
+    return pairs.join(text, "doc_id").where(F.contains("body", F.col("gold"))).select("doc_id", "gold_id"), n_empty
+
+
 def texts_with_gold(texts: DataFrame, golds: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, found, n_golds): how many gold passages (item_id, text) each text (doc_id, text) holds, without regard to case.
 
     Candidates share the passage's words 2 to width + 1, which stand as whole words wherever the passage stands; they
     meet by an equi-join on the hash of those words, and each is checked by its whole text. Passages with fewer than
-    width + 2 words can't be found that way and are compared with every text.
+    width + 2 words meet the texts on their rarest run of characters. An empty passage is in every text.
     """
     words = lambda t: F.split(F.lower(t), r"\s+")
     gold = golds.select(F.col("item_id").alias("gold_id"), F.lower("text").alias("gold"), words(F.col("text")).alias("w"))
@@ -348,7 +376,9 @@ def texts_with_gold(texts: DataFrame, golds: DataFrame, width: int = 5) -> DataF
     keyed = text.withColumn("w", F.split("body", r"\s+")).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
     pairs = keyed.join(long, "key").select("doc_id", "gold_id", "gold").distinct()
     held = text.join(pairs, "doc_id").where(F.contains("body", F.col("gold"))).select("doc_id", "gold_id")
-    few = text.join(short, F.contains("body", F.col("gold"))).select("doc_id", "gold_id")
-    counts = held.unionByName(few).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_golds"))
-    n = F.coalesce("n_golds", F.lit(0))
-    return texts.select("doc_id").join(counts, "doc_id", "left").select("doc_id", (n > 0).alias("found"), n.cast("bigint").alias("n_golds"))
+    few, n_empty = _texts_with_short(text, short)
+    if few is not None:
+        held = held.unionByName(few)
+    counts = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_golds"))
+    n = F.coalesce("n_golds", F.lit(0)) + F.when(F.col("text").isNotNull(), n_empty).otherwise(0)
+    return texts.select("doc_id", "text").join(counts, "doc_id", "left").select("doc_id", (n > 0).alias("found"), n.cast("bigint").alias("n_golds"))

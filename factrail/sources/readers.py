@@ -121,6 +121,18 @@ def without_shards(df: DataFrame) -> DataFrame:
     return df.where(~F.col("_metadata.file_name").rlike(SHARD_FILE))
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of text files; the line label keeps file order without a global sort."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
+def numbered_lines(spark: SparkSession, path: str | list[str], separator: str = "\n") -> DataFrame:
+    """(file, line, value) of text files: lines numbered from 1 over all files in the order of their names, however many
+    splits a file is read in.
+
+    Lines are counted per split, whose start is known; running totals of the counts give each split its first number, and
+    a line's place in its split is the distance of its label from the split's first. Lines are never sorted or gathered.
+    An empty file has no lines; a last line needs no separator.
+    """
+    from factrail.operators.ranking import running_totals
+
+    rows = spark.read.option("lineSep", separator).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    splits = rows.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    placed = running_totals(splits, [], ["file", "split"], "n")
+    return rows.join(placed, ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factrail.operators.merging import last_per_key
-from factrail.sources.writers import latest_version, write_snapshot
+from factrail.sources.buckets import BUCKETS, read_table, upsert_table
 
 KEY = ["item_id", "channel"]
 
@@ -34,22 +34,24 @@ def fold_batch(state: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 
 class LedgerSink:
-    """foreachBatch sink: writes one immutable snapshot per batch, keyed by the batch id.
+    """foreachBatch sink: one version of a bucketed table per batch, numbered by the batch id; a batch rewrites only the
+    buckets that it touches.
 
-    A replayed batch rewrites its own folder from the same predecessor, so a restart gives the same
-    state; the previous snapshot is never touched. The predecessor is the newest complete snapshot of
-    an earlier batch, whichever batches wrote one.
+    A replayed batch starts from the same predecessor, so a restart gives the same state. The predecessor is the newest
+    complete version of an earlier batch, whichever batches wrote one.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
-
-    def previous(self, batch_id: int) -> DataFrame | None:
-        version = latest_version(self.spark, self.root, before=batch_id)
-        return None if version is None else self.spark.read.parquet(f"{self.root}/v={version:09d}")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.root, self.buckets = spark, root, buckets
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        write_snapshot(fold_batch(self.previous(batch_id), batch), self.root, batch_id, mode="overwrite")
+        # the batch is read twice (its buckets, its rows): kept, so that the stream's state is not built twice
+        batch.persist()
+        upsert_table(batch, self.root, batch_id, KEY, fold_batch, buckets=self.buckets)
+        batch.unpersist()
+
+    def state(self) -> DataFrame:
+        return read_table(self.spark, self.root)
 
 
 def ledger(state: DataFrame) -> DataFrame:

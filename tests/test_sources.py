@@ -100,5 +100,5 @@ def test_ledger_batches(spark, tmp_path):
     sink(second, 1)
     sink(second, 1)  # a replay after a failure
     sink(second.limit(0), 5)  # batches in between wrote nothing
-    rows = L.ledger(writers.latest_snapshot(spark, sink.root)).collect()
+    rows = L.ledger(sink.state()).collect()
     assert [(r.channel, r.done, r.failed) for r in rows] == [("asr1", 2, 0)]
