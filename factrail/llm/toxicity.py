@@ -4,13 +4,13 @@ Voters look at a text and say yes or nothing: learned lexicon entries (words, an
 toxic rows is surely high), fixed insult words, and patterns (address next to an insult, masked words, shouting, repeated
 marks). The label model is a two-class mixture fitted by expectation maximisation: it estimates each voter's rate of
 saying yes in either class, with the given label as one more, fallible voter, and the correlation of voters within the
-classes; a voter's evidence is divided by how much of it others repeat. The label's own rates are set (LABEL_RATES), which ties
-the positive class to its meaning; voters may still overrule a label that all of them contradict. The classifier is a logistic regression of lexicon
-entries and voters on the posterior labels.
+classes; a voter's evidence is divided by how much of it others repeat. The label's rates are estimated like all others; as
+many assumed rows as LABEL_WEIGHT in either class start them at LABEL_RATES, which ties the positive class to its meaning. Voters
+overrule a label that they contradict. The classifier is a logistic regression of lexicon entries and voters on the posterior labels.
 
-Training: at most TRAIN_ROWS labelled rows (chosen by a digest of the id), whole texts, none of the held-out fold. The lexicon's
-counts are made in Spark; the driver gets the strongest ENTRIES entries and one packed row of votes per training text.
-A score uses the text only.
+Training: the lexicon is counted in Spark over all labelled rows outside the held-out fold, whole texts; the label model and
+the classifier are fitted on at most TRAIN_ROWS of them (chosen by a digest of the id). The driver gets the strongest ENTRIES entries
+and one packed row of votes per training text. A score uses the text only.
 
 Cases: a null or empty text has no votes and gets the score of a text without any entry; without toxic labels every score
 is 0; rows that repeat are scored alike; a row with several labels counts as toxic if one of them says so.
@@ -34,8 +34,9 @@ TRAIN_ROWS = 20_000
 ENTRIES = 1500
 VOTERS = 64
 MIN_ROWS = 4
-#: How often a given label says toxic in either class.
+#: How often a given label says toxic in either class, to begin with, and how many rows of each class that is worth.
 LABEL_RATES = (0.01, 0.98)
+LABEL_WEIGHT = 20.0
 #: Lexicon entries: how far the lower bound of their log odds must lie above those of all rows.
 ODDS_GAIN = 1.2
 STEPS = 300
@@ -164,7 +165,7 @@ def _training_rows(lexicon: Lexicon):
 def label_model(votes: np.ndarray, given: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of the positive class; each voter's rates (class 0, class 1); the share of its evidence that counts.
 
-    The last voter is the given label, whose rates are set and whose evidence counts in full.
+    The last voter is the given label, whose evidence counts in full.
     """
     v = np.concatenate((votes, given[:, None]), axis=1).astype(float)
     q = 0.02 + 0.96 * given
@@ -173,7 +174,7 @@ def label_model(votes: np.ndarray, given: np.ndarray, steps: int = 25) -> tuple[
         weight = np.stack((1 - q, q))
         total = weight.sum(axis=1)
         rate = (weight @ v + 0.5) / (total[:, None] + 1.0)
-        rate[:, -1] = LABEL_RATES
+        rate[:, -1] = (weight @ v[:, -1] + LABEL_WEIGHT * np.array(LABEL_RATES)) / (total + LABEL_WEIGHT)
         prior = (total[1] + 1) / (total.sum() + 2)
         if step >= 2:
             repeated = np.zeros((v.shape[1],) * 2)
@@ -225,7 +226,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(draw < rows / total).orderBy(draw, "doc_id").limit(rows + rows // 8)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")  # bounded by `rows`
-    counts = texts.mapInArrow(_count_entries, "entry bigint, toxic bigint, other bigint").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    labelled = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+    counts = labelled.mapInArrow(_count_entries, "entry bigint, toxic bigint, other bigint").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (F.col("other") + 0.5)) - 1.64 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
     floor = float(np.log(positive / max(total - positive, 1)))
     best = counts.where(F.col("toxic") >= MIN_ROWS).withColumn("odds", odds).where(F.col("odds") > floor + ODDS_GAIN).orderBy(F.desc("odds"), "entry").limit(ENTRIES).collect()

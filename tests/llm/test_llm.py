@@ -385,6 +385,27 @@ def test_label_model_discounts_repeated_votes():
     assert ((q > 0.5) == y).mean() > 0.97
 
 
+def test_label_model_overrules_wrong_labels():
+    r = np.random.default_rng(11)
+    y = r.random(6000) < 0.2
+    votes = np.stack([np.where(y, r.random(6000) < 0.7, r.random(6000) < 0.02) for _ in range(8)], axis=1)
+    wrong = r.random(6000) < 0.04
+    q, no, yes, _ = toxicity.label_model(votes, (y ^ wrong).astype(int))
+    assert ((q > 0.5) == y)[wrong].mean() > 0.8 and ((q > 0.5) == y)[~wrong].mean() > 0.995
+    # the label's own rates are found, not assumed
+    assert abs(no[-1] - 0.04) < 0.01 and abs(yes[-1] - 0.96) < 0.015
+
+
+def test_lexicon_counts_all_labelled_rows(spark):
+    """A word of toxic texts that a sample of a few rows would hardly hold still becomes an entry."""
+    rare = [(i, f"{prose(12, i)} {'zorgblat' if i % 40 == 0 else 'grumfex' if i % 8 == 0 else ''}", i) for i in range(2000)]
+    docs = spark.createDataFrame([r[:2] for r in rare], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i, _, _ in rare], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels, rows=200)
+    found = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels, model).where("held_out and doc_id % 8 = 0").collect()}
+    assert len(model.lexicon.entries) >= 6 and min(v for k, v in found.items() if k % 40) > 0.5
+
+
 def order_minhash_order(docs):
     return sorted(((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()), key=lambda x: (-x[0], x[1]))
 
