@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factrail.llm.blocks import LETTERS, batches_of, hash_nested, lowered, mix, spans, text_blocks
-from factrail.llm.common import held_out
+from factrail.llm.common import held_out, materialise
 
 #: Bound of the training sample.
 TRAIN_ROWS = 20_000
@@ -39,6 +39,8 @@ LABEL_RATES = (0.01, 0.98)
 LABEL_WEIGHT = 20.0
 #: Lexicon entries: how far the lower bound of their log odds must lie above those of all rows.
 ODDS_GAIN = 1.2
+#: Bit maps of labelled ids that are broadcast at most (8 KB each, for 32 768 neighbouring ids); with more, texts are shuffled.
+MAP_ROWS = 8192
 STEPS = 300
 RATE = 0.2
 L2 = 2e-4
@@ -217,6 +219,25 @@ def _classifier(features: list[np.ndarray], size: int, target: np.ndarray) -> tu
     return w, b
 
 
+def _labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(text, toxic) of the rows of docs whose id is among known (doc_id, toxic), without moving a text where exact bit maps
+    of the ids are small enough to be broadcast."""
+    place, number = F.bitmap_bit_position("doc_id"), F.bitmap_bucket_number("doc_id").alias("number_")
+    ids = known.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    maps = ids.groupBy(number).agg(F.bitmap_construct_agg(place).alias("known_"), F.bitmap_construct_agg(F.when(F.col("toxic") == 1, place)).alias("toxic_"))
+    numbers = ids.select(number).distinct().count()
+    if numbers > MAP_ROWS:
+        return texts.join(ids, "doc_id").select("text", "toxic")
+
+    def bit(name):
+        octet = F.conv(F.hex(F.substring(name, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.pmod(F.floor(octet / F.pow(F.lit(2), F.pmod(place, F.lit(8)))), F.lit(2)).cast("int")
+
+    marked = texts.withColumn("number_", number).join(F.broadcast(materialise(maps)), "number_")
+    return marked.where(bit("known_") == 1).select("text", bit("toxic_").alias("toxic"))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """Fits a model on docs (doc_id, text) and labels (doc_id, toxic)."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -226,8 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(draw < rows / total).orderBy(draw, "doc_id").limit(rows + rows // 8)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")  # bounded by `rows`
-    labelled = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
-    counts = labelled.mapInArrow(_count_entries, "entry bigint, toxic bigint, other bigint").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = _labelled(docs, known).mapInArrow(_count_entries, "entry bigint, toxic bigint, other bigint").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (F.col("other") + 0.5)) - 1.64 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
     floor = float(np.log(positive / max(total - positive, 1)))
     best = counts.where(F.col("toxic") >= MIN_ROWS).withColumn("odds", odds).where(F.col("odds") > floor + ODDS_GAIN).orderBy(F.desc("odds"), "entry").limit(ENTRIES).collect()

@@ -396,6 +396,17 @@ def test_label_model_overrules_wrong_labels():
     assert abs(no[-1] - 0.04) < 0.01 and abs(yes[-1] - 0.96) < 0.015
 
 
+def test_labelled_rows_by_bit_maps(spark, monkeypatch):
+    ids = [0, 1, 7, 8, 32767, 32768, 32769, 10**12, -1, -32768, -40000]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in [*ids, 5, 32770, 1, None]], "doc_id bigint, text string")
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in ids] + [(99, 1)], "doc_id bigint, toxic int")
+    want = sorted((f"t{i}", int(i % 3 == 0)) for i in [*ids, 1])
+    assert sorted(map(tuple, toxicity._labelled(docs, known).collect())) == want
+    monkeypatch.setattr(toxicity, "MAP_ROWS", 2)
+    assert sorted(map(tuple, toxicity._labelled(docs, known).collect())) == want
+    assert toxicity._labelled(docs, known.limit(0)).count() == 0
+
+
 def test_lexicon_counts_all_labelled_rows(spark):
     """A word of toxic texts that a sample of a few rows would hardly hold still becomes an entry."""
     rare = [(i, f"{prose(12, i)} {'zorgblat' if i % 40 == 0 else 'grumfex' if i % 8 == 0 else ''}", i) for i in range(2000)]
