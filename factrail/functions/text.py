@@ -8,6 +8,8 @@ every Unicode space a plain one, so the boundaries are the same in any engine. D
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, functions as F
 
 from factrail.dims import DEFAULT_INSTRUCTION, READING_PROMPT
@@ -243,6 +245,35 @@ def text_hash(text: str) -> Column:
     return F.expr(f"substring(sha2(coalesce({text}, ''), 256), 1, 16)")
 
 
+def _json_string(text: Column) -> Column:
+    """A text as a JSON string of ASCII characters; characters beyond the basic plane become two surrogates."""
+    # fixed values: the short escapes of JSON
+    short = {'"': r'\"', "\\": r"\\", "\n": r"\n", "\r": r"\r", "\t": r"\t", "\b": r"\b", "\f": r"\f"}
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(c: Column) -> Column:
+        code = F.ascii(c)
+        out = F.when(code.between(32, 126), c).when(code < 0x10000, unit(code)).otherwise(
+            F.concat(unit(F.floor((code - 0x10000) / 1024) + 0xD800), unit(code % 1024 + 0xDC00)))
+        for plain, written in short.items():
+            out = F.when(c == plain, F.lit(written)).otherwise(out)
+        return out
+
+    return F.concat(F.lit('"'), F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), escaped), ""), F.lit('"'))
+
+
+def config_hash(settings: Mapping[str, Column], texts: Sequence[str] = ()) -> Column:
+    """First 16 hex digits of the SHA-256 of flat settings as JSON with sorted keys.
+
+    Settings named in ``texts`` are strings, the others integers or booleans; NULL is null.
+    """
+    pairs = []
+    for name in sorted(settings):
+        value = _json_string(settings[name]) if name in texts else settings[name].cast("string")
+        pairs.append(F.concat(_json_string(F.lit(name)), F.lit(": "), F.coalesce(value, F.lit("null"))))
+    return F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}")), 256), 1, 16)
+
+
 def item_instruction(text: str) -> Column:
     return F.expr(f"coalesce(nullif({strip_sql(text)}, ''), {q(DEFAULT_INSTRUCTION)})")
 
@@ -293,4 +324,4 @@ def category_of(item_id: str) -> Column:
 
 
 def format_value(value: str, digits: int = 4) -> Column:
-    return F.expr(f"coalesce(format_string('%.{digits}f', {value}), 'NA')")
+    return F.expr(f"CASE WHEN {value} IS NULL THEN 'NA' ELSE format_string('%.{digits}f', {value}) END")

@@ -52,6 +52,24 @@ def candidate_counts(
     return full.select(*keys, "n_up", *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in names])
 
 
+def eligible_items(plan: DataFrame, expected: DataFrame, extracted: DataFrame) -> DataFrame:
+    """The items that take part in selection: a plan with facts, as many candidates in every view, at least one, and an
+    extraction for each of them.
+
+    plan (item, fact); expected (item, view, key) lists the texts of an item's candidates; extracted (key) those whose
+    facts are known. NULL keys are never extracted. One aggregation per item after one join on the key.
+    """
+    known = extracted.select("key").where("key IS NOT NULL").distinct().withColumn("_known", F.lit(True))
+    marked = expected.select(*ITEM, "view", "key").join(known, "key", "left")
+    each = marked.groupBy(*ITEM).agg(
+        *[_count(F.col("view") == v).alias(f"_{v}") for v in VIEWS], F.bool_and(F.col("_known").isNotNull()).alias("_all"))
+    even = F.col(f"_{VIEWS[0]}") >= 1
+    for v in VIEWS[1:]:
+        even = even & (F.col(f"_{v}") == F.col(f"_{VIEWS[0]}"))
+    return each.where(even & F.col("_all")).select(*ITEM, F.col(f"_{VIEWS[0]}").alias("n_candidates")).join(
+        plan.select(*ITEM).distinct(), list(ITEM), "left_semi")
+
+
 def view_pairs() -> list[tuple[str, str]]:
     return [(a, b) for k, a in enumerate(VIEWS) for b in VIEWS[k + 1:]]
 

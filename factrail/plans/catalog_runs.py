@@ -937,3 +937,41 @@ def d10l(spark, sf):
     lines = X.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("o", "value"))
     lines.repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "o").select("value").write.text(folder)
     return numbered_lines(spark, folder).select("line", F.md5(F.col("value").cast("binary")).alias("line_md5"))
+
+
+PRIORITY = {"1": "cont", "2": "num", "3": "unit", "4": "neg", "5": "name"}
+
+
+@query("p10_categories", "SELECT CASE left(o_orderpriority, 1) WHEN '1' THEN 'content' WHEN '2' THEN 'number' WHEN '3' THEN 'unit' WHEN '4' THEN 'negation' WHEN '5' THEN 'proper_noun' ELSE 'other' END AS category, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY 1")
+def p10(spark, sf):
+    o = X.table(spark, sf, "orders")
+    kinds = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
+    named = o.withColumn("id", F.concat(F.coalesce(F.element_at(kinds, F.substring("o_orderpriority", 1, 1)), F.lit("none")), F.lit("_"), F.col("o_orderkey").cast("string")))
+    return named.groupBy(T.category_of("id").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last"))
+
+
+@query("p15_config_hash", """SELECT c_custkey, substr(sha256('{"balance": ' || CAST(round(c_acctbal) AS BIGINT) || ', "name": "' || c_name || '", "segment": ' || CASE WHEN c_nationkey = 3 THEN 'null' ELSE '"' || c_mktsegment || '"' END || ', "warm": ' || CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END || '}'), 1, 16) AS config_hash FROM customer""")
+def p15c(spark, sf):
+    c = X.table(spark, sf, "customer")
+    segment = F.when(F.col("c_nationkey") != 3, F.col("c_mktsegment"))
+    return c.select("c_custkey", T.config_hash({
+        "warm": F.col("c_acctbal") > 0, "segment": segment, "name": F.col("c_name"), "balance": F.round("c_acctbal").cast("bigint")}, ["name", "segment"]).alias("config_hash"))
+
+
+@query("t14_formatted", "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'NA' ELSE printf('%.4f', l_extendedprice) END AS price FROM lineitem")
+def t14(spark, sf):
+    price = F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice"))
+    return X.table(spark, sf, "lineitem").withColumn("p", price).select("l_orderkey", "l_linenumber", T.format_value("p").alias("price"))
+
+
+@query("w03_eligible_items", """WITH e AS (SELECT o_orderstatus AS model, o_orderkey AS item_id, count(*) AS a1, count(*) FILTER (l_returnflag <> 'A' OR l_linenumber > 1) AS a2, count(*) AS a3,
+ bool_and(most > 2) AS known FROM (SELECT *, max(l_quantity) OVER (PARTITION BY l_orderkey, l_linenumber) AS most FROM lineitem) JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+ SELECT model, item_id, a1 AS n_candidates FROM e WHERE a1 = a2 AND a1 = a3 AND a1 >= 1 AND known AND item_id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 20000)""")
+def w03(spark, sf):
+    """Lines are candidates, orders items: the second view misses some returned first lines, small lines have no extraction."""
+    o = X.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("model"), F.col("o_orderkey").alias("item_id"), "o_totalprice")
+    lines = X.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "item_id").join(o.select("model", "item_id"), "item_id")
+    views = F.array(F.lit("asr1"), F.when((F.col("l_returnflag") != "A") | (F.col("l_linenumber") > 1), F.lit("asr2")), F.lit("asr3"))
+    rows = lines.select("model", "item_id", "l_linenumber", "l_quantity", F.explode(F.filter(views, lambda v: v.isNotNull())).alias("view"))
+    rows = rows.withColumn("key", F.concat_ws("|", F.col("item_id").cast("string"), F.col("l_linenumber").cast("string"), "view"))
+    return S.eligible_items(o.where("o_totalprice > 20000"), rows, rows.where("l_quantity > 2"))
