@@ -109,6 +109,36 @@ def test_ties_go_to_the_earliest_candidate(spark):
     assert (row.base_gap, row.oracle_gap) == (0.5, 0.0)
 
 
+def test_a_fact_travels_once_for_all_candidates_and_pools_beyond_a_word_are_counted(spark):
+    fact = "model string, item_id string, type string, value string, polarity string"
+    plan = spark.createDataFrame([("m", i, "number", v, "+") for i in "ab" for v in ("1", "2")] + [("m", "a", "number", None, "+")], fact)
+    held = [("m", i, c, v, "number", x, "+") for i in "ab" for c in (0, 20, 21, 49) for v in ("asr1", "asr3") for x in ("1", str(c % 3))]
+    cands = spark.createDataFrame(held + [("m", "c", 0, "asr1", "number", "1", "+"), ("m", "a", 3, "asr2", "number", None, "+")],
+                                  "model string, item_id string, cand_idx int, view string, type string, value string, polarity string")
+    grid = spark.createDataFrame([("m", i, c) for i in "abc" for c in range(50) if (i, c) != ("b", 21)], "model string, item_id string, cand_idx int")
+    counts = S.candidate_counts(plan, cands, grid)
+    rows = {(r.item_id, r.cand_idx): r for r in counts.collect()}
+    assert set(rows) == {(i, c) for i in "ab" for c in range(50)} - {("b", 21)}
+    for i, c in ((i, c) for i in "ab" for c in (0, 20, 21, 49) if (i, c) in rows):
+        own = {"1", str(c % 3)}
+        r = rows[i, c]
+        assert (r.d_asr1, r.d_asr2, r.i_asr3, r.x_asr1_asr3) == (len(own), 0, len(own & {"1", "2"}), len(own)), (i, c)
+    assert rows["a", 0].n_up == 3 and rows["b", 0].n_up == 2
+    assert (rows["a", 3].d_asr2, rows["a", 3].i_asr2) == (1, 0)
+    shuffles = [line for line in counts._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffles and not any("cand_idx" in line for line in shuffles)
+    with pytest.raises(Exception, match="outside the pool"):
+        S.candidate_counts(plan, cands, grid, pool=8).collect()
+
+
+def test_budgets_take_the_first_candidates_of_a_pool(spark):
+    views = [[{"1"}, {"1"}, {"1"}], [{"1", "2"}, {"1", "2"}, {"2"}], [{"1", "2", "3"}, {"1", "2", "3"}, {"3"}]]
+    rows = {(r.budget, r.evaluator): r for r in S.budget_curve(pool(spark, {"1", "2", "3"}, views), (1, 2, 8)).collect()}
+    assert [(rows[b, "asr3"].n_candidates, rows[b, "asr3"].plan_guided_pick) for b in (1, 2, 8)] == [(1, 0), (2, 1), (3, 2)]
+    late = pool(spark, {"1", "2", "3"}, views).where("cand_idx > 0")
+    assert {r.budget for r in S.budget_curve(late, (1, 2, 8)).collect()} == {2, 8}
+
+
 def test_merge_keeps_polarity_and_is_independent_of_partitions(spark):
     schema = "k int, type string, value string, polarity string"
     rules = spark.createDataFrame([(1, "number", "95", "+"), (1, "negation", "95", "-"), (1, "proper_noun", "sun", "+")], schema)
