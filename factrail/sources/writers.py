@@ -57,8 +57,8 @@ def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
 def item_scores(facts: DataFrame) -> DataFrame:
     """Per-item export: (model, item_id, scores) with scores a map from condition to its sorted facts.
 
-    An item's facts come from a few texts, so a row is as large as those.
+    An item's facts come from a few texts, so a row is as large as those. They are shuffled once, by item.
     """
     fact = F.struct("type", "value", "polarity")
-    sets = facts.groupBy("model", "item_id", "condition").agg(F.array_sort(F.collect_set(fact)).alias("facts"))
+    sets = facts.repartition("model", "item_id").groupBy("model", "item_id", "condition").agg(F.array_sort(F.collect_set(fact)).alias("facts"))
     return sets.groupBy("model", "item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("condition", "facts")))).alias("scores"))
