@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 from factrail.functions import answers as K
 from factrail.functions import observation as O
 from factrail.functions.stats import ratio, wilson
+from factrail.functions.text import let, q
 from factrail.operators.pairing import _count
 from factrail.operators.ranking import quantile
+from factrail.session import materialise
 
 SOURCES = ("internal", "asr1", "asr2", "asr3")
 
@@ -20,30 +22,37 @@ def graded(items: DataFrame, predictions: DataFrame, sources: Sequence[tuple[str
 
     items (item_id, dataset, task, gold); predictions (model, item_id, condition, error, text, and per
     view v: v, v_error, v_sec). Every item is expected from every model and every (condition, source).
+
+    An item's predictions meet it as one list, by item alone: a text travels once, not once per source, and texts that
+    several conditions, sources or models share are read once. Tables dealt by item are not shuffled again.
     """
-    wanted = F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(s).alias("source")) for c, s in sources])
     # The models are few and the items many: the model list rides on each item as one small array.
     roster = predictions.agg(F.array_sort(F.collect_set("model")).alias("models"))
-    grid = (
-        items.select("item_id", "dataset", "task", "gold", F.explode(roster.scalar()).alias("model"))
-        .select("*", F.explode(wanted).alias("w"))
-        .select("model", "item_id", "dataset", "task", "gold", "w.condition", "w.source")
-    )
-    found = grid.join(predictions.withColumn("present", F.lit(True)), ["model", "item_id", "condition"], "left")
-    text = F.when(F.col("source") == "internal", F.coalesce(F.col("text"), F.lit("")))
+    asked = lambda v: F.col("condition").isin([c for c, s in sources if s == v])
+    text = {"internal": F.coalesce(F.col("text"), F.lit(""))}
     for v in SOURCES[1:]:
-        done = O.complete(F.col(f"{v}_error"), F.col(f"{v}_sec"), F.col(v))
-        text = F.when(F.col("source") == v, O.completed_text(done, F.col(v))).otherwise(text)
-    bad = F.coalesce(F.col("error") != "", F.lit(False))
-    found = found.withColumn("answer_text", text)
-    status = (
-        F.when(F.col("present").isNull(), "missing")
-        .when(bad | F.col("answer_text").isNull(), "error").otherwise("ok"))
-    found = found.withColumn("status", status).withColumn(
-        "extracted", F.when(F.col("status") == "ok", K.answer("dataset", "task", "answer_text")))
-    return found.withColumn(
-        "correct", F.when(F.col("status") == "ok", K.answers_equal("dataset", "task", "extracted", "gold"))
-    ).select("model", "item_id", "dataset", "task", "condition", "source", "status", "extracted", "correct")
+        text[v] = O.completed_text(O.complete(F.col(f"{v}_error"), F.col(f"{v}_sec"), F.col(v)), F.col(v))
+    said = predictions.select("item_id", F.struct(
+        "model", "condition", F.coalesce(F.col("error") != "", F.lit(False)).alias("bad"),
+        F.array(*[F.when(asked(v), text[v]) for v in SOURCES]).alias("texts")).alias("x"))
+    found = items.select("item_id", "dataset", "task", "gold", roster.scalar().alias("models")).join(
+        said.groupBy("item_id").agg(F.collect_list("x").alias("said")), "item_id", "left")
+
+    texts = "array_distinct(flatten(transform(coalesce(said, array()), x -> CASE WHEN x.bad THEN slice(x.texts, 1, 0) ELSE filter(x.texts, t -> t IS NOT NULL) END)))"
+    read = let("e", K.answer_sql("dataset", "task", "y"), f"named_struct('extracted', e, 'correct', {K.equal_sql('dataset', 'task', 'e', 'gold')})")
+    found = found.withColumn("known", F.expr(texts)).withColumn("read", F.expr(f"transform(known, y -> {read})"))
+    row = lambda status, field: (
+        f"named_struct('model', m, 'condition', w.condition, 'source', w.source, 'status', {status}, "
+        f"'extracted', CAST({field('extracted')} AS STRING), 'correct', CAST({field('correct')} AS BOOLEAN))")
+    answered = "NOT x.bad AND x.texts[w.k] IS NOT NULL"
+    present = row(f"CASE WHEN {answered} THEN 'ok' ELSE 'error' END",
+                  lambda f: f"CASE WHEN {answered} THEN read[CAST(array_position(known, x.texts[w.k]) AS INT) - 1].{f} END")
+    wanted = ", ".join(f"named_struct('condition', {q(c)}, 'source', {q(s)}, 'k', {SOURCES.index(s)})" for c, s in sources)
+    each = let("p", "filter(coalesce(said, array()), x -> x.model = m AND x.condition = w.condition)",
+               f"CASE WHEN size(p) = 0 THEN array({row(q('missing'), lambda f: 'NULL')}) ELSE transform(p, x -> {present}) END")
+    rows = f"explode(flatten(transform(models, m -> flatten(transform(array({wanted}), w -> {each})))))"
+    return found.select("item_id", "dataset", "task", F.expr(f"{rows} AS g")).select(
+        "g.model", "item_id", "dataset", "task", "g.condition", "g.source", "g.status", "g.extracted", "g.correct")
 
 
 def coverage_scores(rows: DataFrame, keys: Sequence[str] = ("model", "dataset", "condition", "source")) -> DataFrame:
@@ -109,18 +118,21 @@ def drop_intervals(rows: DataFrame, keys: Sequence[str], **draw) -> DataFrame:
 def duration_strata(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, stratum): accuracy per source and paired drops against the internal text.
 
-    rows (keys, duration, correct_internal, correct_asr1..3). A row is placed in its strata by an
+    rows (keys, duration, correct_internal, correct_asr1..3), read once and counted by their numbers. A row is placed in its strata by an
     expression over the fixed bounds, so no range join is needed; empty strata stay with n = 0.
     """
-    placed = _in_strata(rows)
-    acc = lambda s: F.avg(F.col(f"correct_{s}").cast("double"))
+    right = [f"correct_{s}" for s in SOURCES]
+    cells = materialise(rows.groupBy(*keys, "duration", *right).agg(F.count(F.lit(1)).alias("_n")))
+    placed, n = _in_strata(cells), F.col("_n")
+    mean = lambda x: F.try_divide(F.sum(n * x), F.sum(F.when(x.isNotNull(), n)).cast("double"))
+    acc = lambda s: mean(F.col(f"correct_{s}").cast("double"))
     agg = placed.groupBy(*keys, "stratum").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("duration").alias("mean_duration"), F.max("duration").alias("max_duration"),
+        F.sum(n).alias("n"), mean(F.col("duration")).alias("mean_duration"), F.max("duration").alias("max_duration"),
         *[acc(s).alias(f"accuracy_{s}") for s in SOURCES],
         *[(acc("internal") - acc(s)).alias(f"drop_{s}") for s in SOURCES[1:]])
-    counted = placed.groupBy(*keys, "stratum", "duration").agg(F.count(F.lit(1)).alias("_n"))
+    counted = placed.groupBy(*keys, "stratum", "duration").agg(F.sum(n).alias("_n"))
     agg = agg.join(quantile(counted, [*keys, "stratum"], "duration", "_n", 0.5, "median_duration"), [*keys, "stratum"], "left")
-    every = rows.select(*keys).distinct().withColumn("stratum", F.explode(F.array(*[F.lit(s) for s in STRATA])))
+    every = cells.select(*keys).distinct().withColumn("stratum", F.explode(F.array(*[F.lit(s) for s in STRATA])))
     return every.join(agg, [*keys, "stratum"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
 
 
