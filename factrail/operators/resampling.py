@@ -305,16 +305,17 @@ def permutation_test_ordered(
     positions, which any engine can repeat.
 
     Rows of equal value are one cell and interchangeable, so ``row_id`` is not read. The smaller of both label groups
-    is drawn and summed inside the task; no row is repeated per replicate. ``value`` should be integral so that sums do not
+    is drawn and summed inside the task; no row is repeated per replicate, and the rows are read once, as counted cells. ``value`` should be integral so that sums do not
     depend on their order. Fewer than 2^31 rows a group.
     """
     group = list(group)
-    sizes = rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("n_a"),
-        F.sum(value).alias("s"), F.sum(F.when(F.col(label), F.col(value))).alias("s_a"))
-    sizes = materialise(sizes)
+    counted = materialise(rows.groupBy(*group, F.col(value).alias("x")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("n_a")))
+    x, n = F.col("x"), F.col("n")
+    sizes = materialise(counted.groupBy(*group).agg(
+        F.sum("n").alias("n"), F.sum("n_a").alias("n_a"), F.sum(n * x).alias("s"), F.sum(F.col("n_a") * x).alias("s_a")))
     n_a, n_b = F.col("n_a"), F.col("n") - F.col("n_a")
-    cells = cells_of(rows.select(*group, F.col(value).alias("x")), group, ["x"]).join(
+    cells = running_totals(counted.drop("n_a"), group, "x", "n").withColumnRenamed("before", "start").join(
         sizes.select(*group, F.least(n_a, n_b).alias("_fewer")), group)
     drawn = choice_sums(cells, group, ["x"], F.max("_fewer"), replicates=replicates, seed=seed)
 
