@@ -117,21 +117,30 @@ def _free_patterns(choice: Column) -> Column:
     return F.concat(F.array(F.lit(0).cast("bigint")), free, pairs)
 
 
+def list_members(nodes: DataFrame) -> DataFrame:
+    """(choice, bytes, fp, n, lead): the entries of lists with more than one member.
+
+    Spark takes the lists for as small as the table of nodes, since an explode counts as one row, so every join of lists, members
+    or fingerprints asks for a merge join: none of them is broadcast, whatever the estimate.
+    """
+    lists = index_entries(nodes).groupBy("choice", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lead")).where("n > 1")
+    return index_entries(nodes).join(lists.hint("merge"), ["choice", "bytes"])
+
+
 def links(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
     """(a, b): links of distinct fingerprints that connect exactly what all links within BITS bits connect."""
     nodes = nodes.repartition(parallelism(nodes.sparkSession), "fp")
-    lists = index_entries(nodes).groupBy("choice", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lead")).where("n > 1")
-    members = stored(index_entries(nodes).join(lists, ["choice", "bytes"]))
+    members = stored(list_members(nodes))
     least = members.where((F.col("fp") != F.col("lead")) & _near(F.col("fp"), F.col("lead"))).select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct()
     least = materialise(least)
     comp = components(least).select(F.col("node").alias("fp"), "comp")
-    known = members.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    known = members.join(comp.hint("merge"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     open_lists = known.groupBy("choice", "bytes").agg(F.count(F.lit(1)).alias("m"), (F.min("comp") != F.max("comp")).alias("open")).where("open").drop("open")
-    rest = stored(known.select("choice", "bytes", "fp", "comp").join(open_lists, ["choice", "bytes"]))
+    rest = stored(known.select("choice", "bytes", "fp", "comp").join(open_lists.hint("merge"), ["choice", "bytes"]))
     few = rest.where(F.col("m") <= dense)
     a, b = few.select("choice", "bytes", "fp", "comp"), few.select("choice", "bytes", F.col("fp").alias("other"), F.col("comp").alias("there"))
     tally, which = _shared(F.col("fp"), F.col("other"))
-    pairs = a.join(b, ["choice", "bytes"]).where(
+    pairs = a.join(b.hint("merge"), ["choice", "bytes"]).where(
         (F.col("comp") < F.col("there")) & (tally >= SHARED) & (F.col("choice") == _first_choice(which)) & _near(F.col("fp"), F.col("other")))
     around = rest.where(F.col("m") > dense).select("choice", "bytes", "fp", F.explode(_free_patterns(F.col("choice"))).alias("flip"))
     around = around.select("choice", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("pattern"))
@@ -145,13 +154,13 @@ def simhash_classes(docs: DataFrame) -> DataFrame:
     rows = stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id bigint, fp bigint"))
     nodes = materialise(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")))
     comp = materialise(components(materialise(links(nodes.select("fp")))).select(F.col("node").alias("fp"), "comp"))
-    least = nodes.join(comp, "fp").groupBy("comp").agg(F.min("first").alias("component_id"))
-    reached = comp.join(least, "comp").select("fp", "component_id")
-    named = materialise(nodes.join(reached, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")))
+    least = nodes.join(comp.hint("merge"), "fp").groupBy("comp").agg(F.min("first").alias("component_id"))
+    reached = comp.join(least.hint("merge"), "comp").select("fp", "component_id")
+    named = materialise(nodes.join(reached.hint("merge"), "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id")))
     total = rows.count()
     hot = named.where(F.col("n") * HOT > total).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot"))
     marked = rows.join(F.broadcast(hot), "fp", "left")
     often = marked.where("is_hot").select("doc_id", "fp", F.col("hot_id").alias("component_id"))
     seldom = marked.where("is_hot IS NULL").select("doc_id", "fp").join(
-        named.where(F.col("n") * HOT <= total).select("fp", "component_id"), "fp")
+        named.where(F.col("n") * HOT <= total).select("fp", "component_id").hint("merge"), "fp")
     return often.unionByName(seldom).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
